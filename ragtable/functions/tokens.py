@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element array bound by ``transform``).
+
+    A column expression referenced inside a lambda is re-evaluated for every
+    element; binding it first keeps array work linear.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def whitespace_tokens(c: Column) -> Column:
     """Python ``str.split()`` semantics: split on whitespace runs, no empty tokens, case kept."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != F.lit(""))
