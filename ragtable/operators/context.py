@@ -15,6 +15,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import citation_link
 from .prompts import MESSAGE, no_rag_prompt, render_prompt
@@ -127,7 +128,7 @@ def generate(df: DataFrame, messages_col: str, out: str = "model_output",
     """
     if model is None:
         return df.withColumn(out, passthrough_model(F.col(messages_col)))
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = model()
