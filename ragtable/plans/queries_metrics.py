@@ -40,7 +40,7 @@ g AS (
   LEFT JOIN perq ON perq.query_id = grid.query_id
   LEFT JOIN refs ON refs.query_id = grid.query_id
 ),
-m AS (
+mt AS (
   SELECT query_id, k, n_refs, hit,
          CASE WHEN n_refs = 0 THEN 0.0 ELSE cum / n_refs END AS rc,
          CASE WHEN n_hits = 0 THEN 0.0 ELSE cum / least(k, n_hits) END AS pr
@@ -52,7 +52,7 @@ at_k AS (
          round(CASE WHEN n_refs = 0 THEN 0.0
                     ELSE sum(pr * hit) OVER (PARTITION BY query_id ORDER BY k
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / n_refs END, 6) AS ap
-  FROM m
+  FROM mt
 ),
 hq AS (SELECT h2.*, coalesce(refs.n_refs, 0) AS n_refs FROM h2 LEFT JOIN refs USING (query_id)),
 pq AS (
@@ -82,6 +82,20 @@ ranking AS (
 )"""
 
 
+CTE_NAMES = ["rel", "h", "h2", "h3", "perq", "refs", "qids", "grid", "g", "mt", "at_k", "hq", "pq", "rk0", "ranking"]
+
+
+def metric_ctes_for(max_k: int, hits: str, qrels: str, prefix: str) -> str:
+    """``metric_ctes`` with every CTE name prefixed and other input CTE names, to compute several configs."""
+    import re
+
+    sql = metric_ctes(max_k)
+    for name in CTE_NAMES:
+        sql = re.sub(rf"\b{name}\b", prefix + name, sql)
+    sql = re.sub(r"\bhits\b", hits, sql)
+    return re.sub(r"\bqrels\b", qrels, sql)
+
+
 def _inputs(spark, sf_dir):
     hits = bm25_hits(spark, sf_dir)
     qr = qrels(spark, sf_dir)
