@@ -146,3 +146,20 @@ def test_answer_batch_passthrough(spark):
     assert row["answer"].startswith("Answer the question based only on the following context")
     mocked = X.answer_batch(q, hits, texts, model=lambda: (lambda msgs: ["Hello There!"] * len(msgs))).collect()[0]
     assert mocked["answer"].startswith("Hello There!")
+
+
+def test_retrieve_dispatch(spark):
+    from ragtable.plans.retrieve import resolve_max_k, retrieve
+
+    docs = _chunks(spark)
+    q = spark.createDataFrame([(1, "Time to get creative")], "query_id long, question string")
+    cfg = {"retriever": "ensemble", "retriever_args": {
+        "retriever_weights": [0.5, 0.5],
+        "retrievers": [{"retriever": "BM25", "retriever_args": {"k_retrieved_documents": 2,
+                                                                 "BM25_params": {"k1": 1.5, "b": 0.75, "epsilon": 0.25}}},
+                       {"retriever": "FAISS", "retriever_args": {"k_retrieved_documents": 3}}]}}
+    hits = retrieve(q, docs, cfg).orderBy("rank").collect()
+    assert hits[0]["chunk_id"] == 5
+    assert resolve_max_k(cfg) == 3
+    with pytest.raises(ValueError):
+        retrieve(q, docs, {"retriever": "BM25_retriever"})
