@@ -160,3 +160,11 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int, id_col: str = "que
     ).withColumn("score", F.lit(0.0))
     both = scored.unionByName(pad).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(both, k).select("query_id", "rank", "chunk_id", "score")
+
+
+def metadata_filter(chunks: DataFrame, predicate, limit: int | None = None) -> DataFrame:
+    """R-06: keep chunks whose typed metadata satisfy ``predicate`` (a Column or SQL string), optionally
+    at most ``limit`` of them, *before* scoring. A predicate on columns of a parquet source is pushed
+    into the scan (PushedFilters), so filtered-out chunks are never read."""
+    out = chunks.filter(F.expr(predicate) if isinstance(predicate, str) else predicate)
+    return out.limit(limit) if limit is not None else out

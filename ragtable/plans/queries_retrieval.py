@@ -140,3 +140,17 @@ SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS IN
 def q_fill_null(spark, sf_dir):
     d = bm25.fill_null_content(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "text", F.length("text").alias("n"))
+
+
+FILTER_CTES = """fdocs AS (
+  SELECT d.doc_id, d.text FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic = 0
+),""" + bm25_hits_ctes().replace("FROM documents", "FROM fdocs")
+
+
+@register("bm25_top5_filtered", "WITH " + FILTER_CTES + """
+SELECT query_id, rank, chunk_id, score FROM hits""")
+def q_bm25_filtered(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    docs = bm25.metadata_filter(docs, (F.col("quality") == 1) & (F.col("toxic") == 0))
+    idx = bm25.build_index(docs, id_col="doc_id", text_col="text")
+    return bm25.bm25_search(read_table(spark, sf_dir, "benchmark"), idx, K, id_col="item_id", text_col="text")
