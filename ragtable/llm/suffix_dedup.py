@@ -13,7 +13,8 @@ fingerprints: equal names, equal strings), not letter by letter:
 2. Dictionary. A phrase has two names: its core (the bytes that all windows
    that such a trigger can own share) and its whole (the bytes its windows
    cover, and where they start). Phrases with a core that occurs once are
-   unique and go no further - nearly all, in prose.
+   unique and go no further - nearly all, in prose; a bounded bitmap of the
+   repeated cores keeps them out of the shuffle (``slots``).
 3. Parse order. Phrases with equal wholes make a class; all windows of a class
    of two or more repeat. Where one core has several classes, the class
    representatives' windows are named and counted, weighted by class sizes.
@@ -35,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .decontam import merged
 from .kernels import PrefixHash, blocks, mix64
+from .slots import may_contain, slot_filter
 
 LENGTH = 400
 SPACING = 120
@@ -83,17 +86,39 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: in
     return row, first - off[row], last - first + 1, core, whole
 
 
-def _parse(length, spacing, gram):
+def _cores(length, spacing, gram):
+    def run(batches):
+        for _, data, off in blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(phrases(data, off, length, spacing, gram)[3].view(np.int64))], names=["core"])
+
+    return run
+
+
+def _parse(length, spacing, gram, repeated):
+    """Phrases whose core may be one of the ``repeated`` ones."""
+
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             row, first, n, core, whole = phrases(data, off, length, spacing, gram)
+            pick = np.flatnonzero(may_contain(repeated.value, core))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(row)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
+                [rows.column(0).take(pa.array(row[pick])), pa.array(core[pick].view(np.int64)), pa.array(whole[pick].view(np.int64)),
+                 pa.array(first[pick], pa.int32()), pa.array(n[pick], pa.int32())],
                 names=["rk", "core", "whole", "first", "n"])
 
     return run
 
 
+def _among(rows: DataFrame, keys, inside: bool) -> DataFrame:
+    """The rows whose ``rk`` (first column) may be one of ``keys``, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_contain(keys.value, batch.column(0).to_numpy()) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _window_names(length):
     """Rows (text, phrases array<struct<first, n, whole, size>>) -> a named row for each window of each phrase."""
 
@@ -117,22 +142,26 @@ def _window_names(length):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, gram: int = GRAM) -> DataFrame:
     """(rk, row, text, spans) for every row: its other columns as ``row``, the starts of its repeated windows as ``spans`` (null: none)."""
-    rows = docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("rk"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"))
-    parse = rows.select("rk", "text").mapInArrow(_parse(length, spacing, gram), "rk long, core long, whole long, first int, n int")
-    again = parse.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    parse = parse.join(again, "core")
-    classes = parse.groupBy("core", "whole").agg(F.count("*").alias("size"), F.min(F.struct("rk", "first", "n")).alias("p"))
+    rows = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("rk"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"))
+    again = cut_lineage(rows.select("text").mapInArrow(_cores(length, spacing, gram), "core long")
+                        .groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
+    parse = rows.select("rk", "text").mapInArrow(_parse(length, spacing, gram, slot_filter(again, "core")), "rk long, core long, whole long, first int, n int")
+    parse = cut_lineage(parse.join(again, "core"))
+    classes = cut_lineage(parse.groupBy("core", "whole").agg(F.count("*").alias("size"), F.min(F.struct("rk", "first", "n")).alias("p")))
     many = classes.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
-    probes = (classes.join(many, "core").groupBy(F.col("p.rk").alias("rk"))
-              .agg(F.collect_list(F.struct("p.first", "p.n", "size")).alias("probes")))
-    windows = (rows.join(probes, "rk").dropDuplicates(["rk"]).select("rk", "text", "probes")
+    probes = cut_lineage(classes.join(many, "core").groupBy(F.col("p.rk").alias("rk"))
+                         .agg(F.collect_list(F.struct("p.first", "p.n", "size")).alias("probes")))
+    windows = (_among(rows.select("rk", "text"), slot_filter(probes, "rk"), True).join(probes, "rk").dropDuplicates(["rk"]).select("rk", "text", "probes")
                .mapInArrow(_window_names(length), "rk long, name long, start int, size long"))
+    # a class of one repeats where a window's name is met again; larger classes only add to the counts
     shared = windows.groupBy("name").agg(F.sum("size").alias("c")).where("c > 1").select("name")
-    part = (windows.where("size = 1").join(shared, "name").select("rk", F.col("start").alias("first"), F.col("start").alias("last")))
+    part = windows.where("size = 1").join(shared, "name").select("rk", F.col("start").alias("first"), F.col("start").alias("last"))
     full = (parse.join(classes.where("size > 1").select("core", "whole"), ["core", "whole"])
             .select("rk", "first", (F.col("first") + F.col("n") - 1).alias("last")).distinct())
-    spans = full.union(part).groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return rows.join(spans, "rk", "left")
+    spans = cut_lineage(full.union(part).groupBy("rk").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    touched = slot_filter(spans, "rk")
+    clean = _among(rows, touched, False)
+    return _among(rows, touched, True).join(spans, "rk", "left").unionByName(clean.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
 
 def _removed(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:
