@@ -3,17 +3,17 @@
 1. One scan makes each text's set of word shingles, its MinHash signature and a
    128-bit set key. Equal sets collapse to one node by a map-side combined
    minimum, so thousands of copies cost one row.
-2. Signatures are cut in bands; nodes sharing a band key are candidates.
-   Buckets never emit all their pairs: a bucket's smallest nodes ("hubs") are
-   tried against those bucket members that are not yet in the hub's component.
-   Then components are drawn again and the hubs leave the bucket; rounds go on,
-   with more hubs each time, until every bucket left has one component. So a
-   bucket of near copies closes after a round or two, and every pair that could
-   still join two components does get tried: there is no cap.
-3. A candidate pair's signatures are compared batch by batch. With a uniform
+2. Signatures are cut in bands; nodes sharing a band key are candidates. A
+   bucket does not emit its pairs: each member is tried against the bucket's
+   smallest node, which joins most of a group of near copies at once.
+3. Buckets that still hold several components are tried exhaustively, in blocks:
+   members go to blocks of about ``BLOCK_BYTES``, and only blocks that share a
+   bucket meet, in one row per pair of blocks, which returns the links that join
+   components. So there is no cap, and no pair of texts becomes a row.
+4. A candidate pair's signatures are compared batch by batch. With a uniform
    prior, the posterior after m matches in n is Beta(m+1, n-m+1); a pair goes
-   once P(J >= threshold) is under ``miss``.
-4. Survivors are verified on the full sets: scale * |A & B| >= percent * |A | B|.
+   once P(J >= threshold) is under ``miss``. Survivors are verified on the full
+   sets: 100 * |A & B| >= percent * |A | B|.
 5. Verified links make components.
 
 Defined results: null, empty or wordless text is linked with nothing; texts
@@ -32,17 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .graph import connected_components
 from .kernels import blocks, list_column, mix64, shingle_sets
+from .slots import may_contain, slot_filter
 
 N_HASHES = 128
 BAND_ROWS = 4
 BATCH = 16
 MISS = 1e-6
 SEED = 7919
+BLOCK_BYTES = 2 << 20
 
 
 def min_matches(threshold: float, n_hashes: int = N_HASHES, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -116,93 +117,153 @@ def sequential_filter(pairs: DataFrame, threshold: float, n_hashes: int = N_HASH
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(judge, "u long, v long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(node, items) of the nodes whose smallest document is in ``ids``: the full sets, one per node."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, items) of ``nodes``: the full shingle sets, one per node, cut anew by a scan that skips other texts."""
+    wanted = slot_filter(nodes, "node")
 
     def scan(batches):
-        for rows, data, off in blocks(batches, "text"):
-            sets = shingle_sets(data, off, k)
-            one = np.array([mix64(mix64(s).sum(dtype=np.uint64, keepdims=True))[0] if len(s) else 0 for s in sets], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), list_column([s.view(np.int64) for s in sets], pa.int64())], names=["node", "items"])
+        for _, data, off in blocks(batches, "text"):
+            sets = [s for s in shingle_sets(data, off, k) if len(s)]
+            one = np.array([mix64(mix64(s).sum(dtype=np.uint64, keepdims=True))[0] for s in sets], dtype=np.uint64)
+            pick = np.flatnonzero(may_contain(wanted.value, one))
+            yield pa.RecordBatch.from_arrays([pa.array(one[pick].view(np.int64)), list_column([sets[i].view(np.int64) for i in pick], pa.int64())], names=["node", "items"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id", "node").distinct(), "doc_id")
-    # a doc_id may name several rows; only sets that belong to a wanted node go on
-    return (wanted.select("text", F.col("node").alias("want")).mapInArrow(_pass_through(scan), "node long, want long, items array<long>")
-            .where(F.col("node") == F.col("want")).drop("want").dropDuplicates(["node"]))
+    return docs.select("text").mapInArrow(scan, "node long, items array<long>").join(nodes.select("node"), "node").dropDuplicates(["node"])
 
 
-def _pass_through(scan):
-    def run(batches):
-        for batch in batches:
-            at = 0
-            want = batch.column(1)
-            for out in scan([batch.select([0])]):
-                yield pa.RecordBatch.from_arrays([out.column(0), want.slice(at, out.num_rows), out.column(1)], names=["node", "want", "items"])
-                at += out.num_rows
-
-    return run
-
-
-def verified_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, **bayes) -> DataFrame:
-    """Candidate pairs (u, v) -> those whose full sets meet the threshold."""
-    sig = nodes.select("node", "sig")
-    both = (pairs.join(sig.select(F.col("node").alias("u"), F.col("sig").alias("sig_u")), "u")
-            .join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v"))
-    alive = cut_lineage(sequential_filter(both, percent / 100, **bayes))
-    used = alive.select(F.col("u").alias("node")).union(alive.select("v")).distinct()
-    # rows without doc_id can't be looked up by it, so such nodes are found by the least null-safe id
-    ids = nodes.join(used, "node").select("node", F.col("rep").alias("doc_id"))
-    sets = _sets(docs, ids, k)
-    got = (alive.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
-           .join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v"))
-    common = F.size(F.array_intersect("a", "b"))
-    return got.where(F.lit(100) * common >= F.lit(percent) * (F.size("a") + F.size("b") - common)).select("u", "v")
+def _exact(first: list[np.ndarray], second: list[np.ndarray], ask: np.ndarray, percent: int, columns: int = 4096) -> np.ndarray:
+    """Of the pairs ``ask`` (n x 2 places in first, second), which meet the threshold on full sets.
 
+    Intersection sizes are products of incidence matrices over the shingles that both sides know, a slice of columns at a time.
+    """
+    a, b = np.unique(ask[:, 0]), np.unique(ask[:, 1])
+    sizes = [np.array([len(s[i]) for i in p]) for s, p in ((first, a), (second, b))]
+    flat = [np.concatenate([s[i] for i in p]) for s, p in ((first, a), (second, b))]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    common = np.zeros((len(a), len(b)), dtype=np.float64)
+    if len(shared):
+        place = []
+        for n, x in zip(sizes, flat, strict=True):
+            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+            hit = shared[at] == x
+            order = np.argsort(at[hit], kind="stable")
+            place.append((np.repeat(np.arange(len(n)), n)[hit][order], at[hit][order]))
+        for lo in range(0, len(shared), columns):
+            wide = min(columns, len(shared) - lo)
+            side = []
+            for n, (row, at) in zip(sizes, place, strict=True):
+                x, y = np.searchsorted(at, [lo, lo + wide])
+                m = np.zeros((len(n), wide), dtype=np.float32)
+                m[row[x:y], at[x:y] - lo] = 1
+                side.append(m)
+            common += side[0] @ side[1].T
+    i, j = np.searchsorted(a, ask[:, 0]), np.searchsorted(b, ask[:, 1])
+    both = np.rint(common[i, j]).astype(np.int64)
+    return 100 * both >= percent * (sizes[0][i] + sizes[1][j] - both)
+
+
+def _block_links(pairs: DataFrame, least: list[int], n_hashes: int, batch: int, percent: int) -> DataFrame:
+    """Rows (a, b: arrays of nodes with comp, sig, items) -> links (u, v) that join two components of the block pair."""
+
+    def side(column):
+        flat = column.flatten()
+        items = flat.field("items")
+        off, values = items.offsets.to_numpy(), items.values.to_numpy()
+        return (flat.field("node").to_numpy(), flat.field("comp").to_numpy(), flat.field("sig").flatten().to_numpy().reshape(-1, n_hashes),
+                [values[x:y] for x, y in zip(off[:-1], off[1:], strict=True)])
 
-def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_hashes: int = N_HASHES, band_rows: int = BAND_ROWS, **bayes) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (links found for the row's set), one row per input row."""
+    def run(batches):
+        for rows in batches:
+            for r in range(rows.num_rows):
+                (u, cu, su, xu), (v, cv, sv, xv) = side(rows.column(0).slice(r, 1)), side(rows.column(1).slice(r, 1))
+                size_u, size_v = np.array([len(x) for x in xu]), np.array([len(x) for x in xv])
+                root = {c: c for c in (*cu.tolist(), *cv.tolist())}
+
+                def find(c):
+                    while root[c] != c:
+                        c = root[c]
+                    return c
+
+                out = []
+                for lo in range(0, len(u), 64):  # a strip of u against all of v
+                    part = slice(lo, lo + 64)
+                    cur = (np.array([find(c) for c in cu[part].tolist()])[:, None] != np.array([find(c) for c in cv.tolist()])[None, :]) & (u[part, None] != v[None, :])
+                    cur &= (100 * np.minimum(size_u[part, None], size_v[None, :]) >= percent * np.maximum(size_u[part, None], size_v[None, :]))
+                    i, j = np.nonzero(cur)
+                    matched = np.zeros(len(i), dtype=np.int64)
+                    for step, need in enumerate(least):
+                        if not len(i):
+                            break
+                        cols = slice(step * batch, (step + 1) * batch)
+                        matched += (su[part][i, cols] == sv[j, cols]).sum(axis=1)
+                        go = matched >= need
+                        i, j, matched = i[go], j[go], matched[go]
+                    if not len(i):
+                        continue
+                    ok = _exact(xu[part], xv, np.column_stack([i, j]), percent)
+                    for p, q in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                        c, d = find(int(cu[lo + p])), find(int(cv[q]))
+                        if c != d:
+                            root[max(c, d)] = min(c, d)
+                            out.append((int(u[lo + p]), int(v[q])))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["u", "v"])
+
+    return pairs.select("a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_hashes: int = N_HASHES, band_rows: int = BAND_ROWS,
+                              batch: int = BATCH, miss: float = MISS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row."""
     scanned = cut_lineage(signatures(docs, k, n_hashes))
     nodes = cut_lineage(scanned.where(F.col("node").isNotNull()).groupBy("node", "node2")
-                        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig")))
+                        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_hashes // band_rows - 1)),
                         lambda b: F.xxhash64(b, F.slice("sig", b * band_rows + 1, band_rows)))
-    items = nodes.where(F.col("rep").isNotNull()).select(F.explode(bands).alias("bk"), "node")
-    shared = items.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1").select("bk")
-    left = cut_lineage(items.join(shared, "bk"))
-    links, comps, hubs = None, None, 1
-    while not left.isEmpty():
-        if comps is None:
-            member = left.withColumn("comp", F.col("node"))
-        else:
-            member = left.join(comps, "node", "left").select("bk", "node", F.coalesce("component", "node").alias("comp"))
-            open_ = member.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
-            member = cut_lineage(member.join(open_, "bk"))
-        if hubs == 1:
-            first = member.groupBy("bk").agg(F.min(F.struct("node", "comp")).alias("h")).select("bk", F.col("h.node").alias("hub"), F.col("h.comp").alias("hc"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("bk").orderBy("node"))
-            first = member.withColumn("r", rank).where(F.col("r") <= hubs).select("bk", F.col("node").alias("hub"), F.col("comp").alias("hc"))
-        pairs = (member.join(first, "bk").where((F.col("node") > F.col("hub")) & (F.col("comp") != F.col("hc")))
-                 .select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
-        found = cut_lineage(verified_links(docs, nodes, pairs, k, percent, n_hashes=n_hashes, **bayes))
-        links = found if links is None else cut_lineage(links.union(found).distinct())
-        comps = connected_components(links)
-        last = first.groupBy("bk").agg(F.max("hub").alias("last"))
-        left = cut_lineage(member.join(last, "bk").where(F.col("node") > F.col("last")).select("bk", "node"))
-        hubs *= 8
-    if comps is None:
-        comp_ids = nodes.where("copies > 1").select("node", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = (links.select(F.col("u").alias("node")).union(links.select("v")).groupBy("node").agg(F.count("*").alias("n_links")))
-        of = nodes.select("node", "rep", "copies").join(comps, "node", "left").join(degree, "node", "left")
-        low = of.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("low"))
-        comp_ids = (of.where((F.col("copies") > 1) | F.col("component").isNotNull()).join(low, "component", "left")
-                    .select("node", F.coalesce("low", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return (scanned.drop("sig").join(comp_ids, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links"))
+    items = nodes.select(F.explode(bands).alias("bk"), "node")
+    shared = items.groupBy("bk").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("bk", "hub")
+    members = cut_lineage(items.join(shared, "bk"))
+    used = cut_lineage(members.select("node").distinct())
+    least = min_matches(percent / 100, n_hashes, batch, miss)
+    info = cut_lineage(nodes.join(used, "node").join(_sets(docs, used, k), "node").select("node", "sig", "items", "n"))
+
+    # every member against its buckets' hubs
+    stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    sized = info.select("node", "sig", "n")
+    both = (stars.join(sized.select(F.col("node").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u")), "u")
+            .join(sized.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v")), "v")
+            .where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent))
+    alive = sequential_filter(both, percent / 100, n_hashes, batch, miss)
+    sets = info.select("node", "items")
+    common = F.size(F.array_intersect("a", "b"))
+    links = cut_lineage(alive.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
+                        .join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+                        .where(common * 100 >= (F.size("a") + F.size("b") - common) * percent).select("u", "v"))
+    comps = connected_components(links)
+
+    # buckets that still hold several components: their members in blocks, block against block
+    member = members.join(comps, "node", "left").select("bk", "node", "hub", F.coalesce("component", "node").alias("comp"))
+    open_ = member.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("bk")
+    member = cut_lineage(member.join(open_, "bk"))
+    placed = member.groupBy("node", "comp").agg(F.min("hub").alias("g")).join(info, "node")
+    weight = placed.groupBy("g").agg(F.ceil(F.sum(F.col("n") * 8 + 4 * n_hashes) / block_bytes).alias("parts"))
+    placed = cut_lineage(placed.join(weight, "g").select(
+        "node", "comp", "sig", "items", F.xxhash64("g", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    in_block = member.select("bk", "node").join(placed.select("node", "block"), "node").select("bk", "block").distinct()
+    block_pairs = (in_block.select("bk", F.col("block").alias("x")).join(in_block.select("bk", F.col("block").alias("y")), "bk")
+                   .where("x <= y").select("x", "y").distinct())
+    content = cut_lineage(placed.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "items")).alias("rows")))
+    against = (block_pairs.join(content.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x")
+               .join(content.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y"))
+    more = cut_lineage(_block_links(against, least, n_hashes, batch, percent))
+    if not more.isEmpty():
+        comps = connected_components(links.union(more))
+
+    of = nodes.select("node", "rep", "copies").join(comps, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    low = of.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("low"))
+    of = of.join(low, "component", "left").select("node", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"), F.lit(True).alias("linked"))
+    got = scanned.drop("sig").join(of, "node", "left")
+    return (got.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
