@@ -107,14 +107,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     found = patterns(benchmark, n).cache()
     total = found.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
     shards = -(-total // shard_bytes) or 1
-    schema = docs.schema
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), F.lit(None).cast(_SPANS).alias("hits"),
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"), F.lit(None).cast(_SPANS).alias("hits"),
                         F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
     for s in range(shards):
         part = found.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == s).collect()
         inner = inner.mapInArrow(_scan(spark.sparkContext.broadcast([(r[0], r[1]) for r in sorted(part)])), inner.schema)
     found.unpersist()
-    return inner.select(*[F.col("row").getField(c).alias(c) for c in schema.names], F.struct("hits", "items", "n_words").alias("decon"))
+    return inner.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], F.struct("hits", "items", "n_words").alias("decon"))
 
 
 def n_hit():
@@ -125,9 +124,12 @@ def contaminated():
     return (n_hit() > 0) & (n_hit() * 20 >= F.col("decon.n_words"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:
     """The rows that are not contaminated, their columns as they were."""
-    return find_contamination(docs, benchmark, n).where(~contaminated()).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # a column of docs may be called decon
+    named = docs.select(*[docs[c].alias("text" if c == "text" else n) for c, n in zip(docs.columns, names, strict=True)])
+    kept = find_contamination(named, benchmark, n_words).where(~contaminated())
+    return kept.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def character_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

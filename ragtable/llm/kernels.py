@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
@@ -46,12 +46,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def byte_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls are empty."""
-    arr = pc.fill_null(column.cast(pa.large_binary()), b"")
-    off = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset: arr.offset + len(arr) + 1]
-    if len(off) == 0:
+    """(bytes, offsets) of a string column, its buffers unless a null hides bytes; nulls are empty."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    buf = arr.buffers()[2]
+    off = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(off)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return byte_arrays(pc.fill_null(column.cast(pa.large_binary()), b""))
+    buf = column.buffers()[2]
     data = np.frombuffer(buf, dtype=np.uint8)[off[0]: off[-1]] if buf is not None else np.zeros(0, np.uint8)
     return data, off - off[0]
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .decontam import normalise
@@ -70,7 +71,7 @@ def character_counts(docs: DataFrame) -> DataFrame:
                     w = f"^^{word}$"
                     for i in range(len(w) - 2):
                         total[w[i: i + 3]] += n
-            if len(total) > 200_000:
+            if len(total) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
@@ -148,7 +149,7 @@ def restored_text(raw: bytes, model: dict, memo: dict[str, str]) -> str:
     more = []
     for span in sorted(suspicious(text)):
         if span not in memo:
-            if len(memo) > 200_000:
+            if len(memo) > 20_000:
                 memo.clear()
             memo[span] = restore(span, model)
         more.append(memo[span])
@@ -235,8 +236,8 @@ def learn_marks(docs: DataFrame, labels: DataFrame, model: dict, per_class: int
     return choose_marks(toxic, kept, sizes[0], share, least)
 
 
-def with_toxicity(docs: DataFrame, model: dict, marks: dict[str, float]) -> DataFrame:
-    """The columns of ``docs`` but text, and ``score``."""
+def with_toxicity(docs: DataFrame, model: dict, marks: dict[str, float], keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (text only on demand), and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast((model, sorted(marks.items())))
 
     def run(batches):
@@ -253,12 +254,11 @@ def with_toxicity(docs: DataFrame, model: dict, marks: dict[str, float]) -> Data
             if listed:
                 for i in range(rows.num_rows):
                     out[i] = max((p for _, p in machine.iter(restored_text(raw[off[i]: off[i + 1]], letters, memo))), default=BASE_SCORE)
-            put = {"score": pa.array(out)}
-            keep = [j for j, f in enumerate(rows.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*(rows.column(j) for j in keep), put["score"]], names=[*(rows.schema.names[j] for j in keep), "score"])
+            keep = [j for j, f in enumerate(rows.schema) if keep_text or f.name != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(j) for j in keep), pa.array(out)], names=[*(rows.schema.names[j] for j in keep), "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{fields}, score double")
+    schema = T.StructType([f for f in docs.schema if keep_text or f.name != "text"]).add("score", "double")
+    return docs.mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[dict, dict[str, float]]:
@@ -270,5 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[di
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows that are not judged toxic, their columns as they were."""
     model, marks = fit(docs, labels)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    return with_toxicity(rows, model, marks).where(F.col("score") < cut).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    other = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[docs[c] for c in other]).alias("row"), docs["text"].alias("text"))
+    kept = with_toxicity(rows, model, marks, keep_text=True).where(F.col("score") < cut)
+    return kept.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
