@@ -11,6 +11,7 @@ UDFs; their cost is bounded by the length of one answer.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from typing import Callable
 
 import numpy as np
@@ -124,7 +125,8 @@ def _lcs_table(a: list[str], b: list[str]) -> list[list[int]]:
     return t
 
 
-def _union_lcs(ref: list[str], cands: list[list[str]]) -> int:
+def _union_lcs(ref: list[str], cands: list[list[str]]) -> list[str]:
+    """Tokens of ``ref`` that are on the longest common subsequence with any of ``cands``, in order."""
     hit: set[int] = set()
     for c in cands:
         t = _lcs_table(ref, c)
@@ -137,7 +139,19 @@ def _union_lcs(ref: list[str], cands: list[list[str]]) -> int:
                 i -= 1
             else:
                 j -= 1
-    return len(hit)
+    return [ref[i] for i in sorted(hit)]
+
+
+def _consumed(hits: list[str], *sides: list[list[str]]) -> int:
+    """Hits that count: each takes a token of its kind from every side that still has one left."""
+    left = [Counter(t for sent in side for t in sent) for side in sides]
+    n = 0
+    for h in hits:
+        if all(c[h] > 0 for c in left):
+            n += 1
+            for c in left:
+                c[h] -= 1
+    return n
 
 
 def _tok(s: str | None) -> list[str]:
@@ -170,7 +184,7 @@ def rouge_lsum(prediction: pd.Series, reference: pd.Series) -> pd.Series:
         ps = [_tok(s) for s in (p or "").split("\n")]
         rs = [_tok(s) for s in (r or "").split("\n")]
         pl, rl = sum(map(len, ps)), sum(map(len, rs))
-        hits = sum(_union_lcs(ref, ps) for ref in rs)
+        hits = _consumed([t for ref in rs for t in _union_lcs(ref, ps)], ps, rs)
         out.append(round(_f(hits, pl, rl), 6))
     return pd.Series(out)
 

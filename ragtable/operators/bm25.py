@@ -148,18 +148,21 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int, id_col: str = "que
     filled with score-0 chunks; the filler is the k smallest chunk ids (a
     bounded k-row set), taken only where the query has room left.
     """
-    scored = top_k(bm25_scores(queries, index, id_col, text_col, max_broadcast_rows), k).drop("rank")
+    scores = bm25_scores(queries, index, id_col, text_col, max_broadcast_rows)
+    scored = top_k(scores, k).drop("rank")
     if not fill:
         return top_k(scored, k)
-    # k rows at most: the k smallest chunk ids, as literals on every query row.
-    filler = [r[0] for r in index.chunk_ids.orderBy("chunk_id").limit(k).collect()]
+    # Only queries short of k matches are padded, so all their matches are in ``scored``; of the k + k smallest
+    # chunk ids at least k do not match. Matched chunks keep their own scores, also negative ones.
+    filler = [r[0] for r in index.chunk_ids.orderBy("chunk_id").limit(2 * k).collect()]
     if not filler:
         return top_k(scored, k).select("query_id", "rank", "chunk_id", "score")
-    pad = queries.select(
-        F.col(id_col).alias("query_id"), F.explode(F.array(*[F.lit(c) for c in filler])).alias("chunk_id")
-    ).withColumn("score", F.lit(0.0))
-    both = scored.unionByName(pad).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top_k(both, k).select("query_id", "rank", "chunk_id", "score")
+    matched = scored.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = (queries.select(F.col(id_col).alias("query_id")).join(matched, "query_id", "left")
+             .where(F.coalesce("n", F.lit(0)) < k).select("query_id"))
+    pad = (short.select("query_id", F.explode(F.array(*[F.lit(c) for c in filler])).alias("chunk_id"))
+           .join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0)))
+    return top_k(scored.unionByName(pad), k).select("query_id", "rank", "chunk_id", "score")
 
 
 def metadata_filter(chunks: DataFrame, predicate, limit: int | None = None) -> DataFrame:

@@ -203,77 +203,69 @@ def start_indices(text: Column, chunks: Column) -> Column:
 
 
 # ---- C-03 / C-04 with separator / C-07: recursive separator splitter ----------
+# A text is never cut in strings before the end: pieces are offsets, a packed chunk is a pair of offsets.
 
-def _split_keep_start(text: str, sep: str, is_regex: bool) -> list[str]:
-    if sep == "":
-        return list(text)
-    pat = sep if is_regex else re.escape(sep)
-    parts = re.split(f"({pat})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        out.append(parts[-1])
-    return [p for p in out if p != ""]
-
-
-def _join(pieces: list[str], sep: str) -> str | None:
-    t = sep.join(pieces).strip()
-    return t or None
-
-
-def _merge(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    sep_len = len(sep)
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    for d in pieces:
-        ln = len(d)
-        if total + ln + (sep_len if cur else 0) > size:
-            if cur:
-                doc = _join(cur, sep)
-                if doc is not None:
-                    docs.append(doc)
-                while total > overlap or (total + ln + (sep_len if cur else 0) > size and total > 0):
-                    total -= len(cur[0]) + (sep_len if len(cur) > 1 else 0)
-                    cur = cur[1:]
-        cur.append(d)
-        total += ln + (sep_len if len(cur) > 1 else 0)
-    doc = _join(cur, sep)
-    if doc is not None:
-        docs.append(doc)
-    return docs
-
-
-def recursive_split_text(text: str, separators: Sequence[str], size: int, overlap: int,
-                         is_regex: bool = False) -> list[str]:
-    """Split at the first separator present (else the last listed; '' = characters), keep the
-    separator at the start of each piece, pack pieces up to ``size`` with up to ``overlap`` carried
-    over, and re-split an oversized piece with the remaining separators."""
-    if text is None:
-        return []
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if re.search(s if is_regex else re.escape(s), text):
-            sep, rest = s, list(separators[i + 1:])
-            break
-    out: list[str] = []
-    good: list[str] = []
-    for piece in _split_keep_start(text, sep, is_regex):
-        if len(piece) < size:
-            good.append(piece)
+def pack(lengths: Sequence[int], gap: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of consecutive pieces, joined by ``gap`` characters, that fit ``size``; successive
+    ranges share pieces of at most ``overlap`` characters. One sweep of two pointers over prefix lengths."""
+    reach = [0]
+    for n in lengths:
+        reach.append(reach[-1] + n + gap)
+
+    def joined(a: int, b: int) -> int:
+        return reach[b] - reach[a] - gap if b > a else 0
+
+    a = 0
+    for b in range(len(lengths)):
+        if joined(a, b + 1) <= size:
+            continue
+        if b > a:
+            yield a, b
+        a = next(x for x in range(a, b + 1) if x == b or (joined(x, b) <= overlap and joined(x, b + 1) <= size))
+    if a < len(lengths):
+        yield a, len(lengths)
+
+
+def chunk_spans(text: str, lo: int, hi: int, separators: Sequence[re.Pattern | None], size: int, overlap: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whole) of the chunks of text[lo:hi]; ``whole`` marks a piece too long for ``size`` that nothing can cut.
+
+    ``None`` as a separator stands for "between any two characters".
+    """
+    level = next((i for i, p in enumerate(separators) if p is None or p.search(text, lo, hi)), None)
+    finer = [] if level is None or separators[level] is None else separators[level + 1:]
+    cutter = separators[-1 if level is None else level]
+    starts = range(lo, hi) if cutter is None else sorted({lo, *(m.start() for m in cutter.finditer(text, lo, hi))})
+    edges = [*starts, hi] if hi > lo else []
+    small: list[int] = []  # edges of the current run of pieces under ``size``
+
+    def packed() -> Iterator[tuple[int, int, bool]]:
+        for a, b in pack([y - x for x, y in zip(small, small[1:])], 0, size, overlap):
+            yield small[a], small[b], False
+
+    for x, y in zip(edges, edges[1:]):
+        if y - x < size:
+            if not small:
+                small.append(x)
+            small.append(y)
+            continue
+        yield from packed()
+        small = []
+        if finer:
+            yield from chunk_spans(text, x, y, finer, size, overlap)
         else:
-            if good:
-                out.extend(_merge(good, "", size, overlap))
-                good = []
-            if not rest:
-                out.append(piece)
-            else:
-                out.extend(recursive_split_text(piece, rest, size, overlap, is_regex))
-    if good:
-        out.extend(_merge(good, "", size, overlap))
-    return out
+            yield x, y, True
+    yield from packed()
+
+
+def recursive_split_text(text: str | None, separators: Sequence[str], size: int, overlap: int, is_regex: bool = False) -> list[str]:
+    """Cut at the first separator that occurs (else the last listed; '' between characters), separators staying at
+    the start of their pieces; pieces packed up to ``size``, up to ``overlap`` carried over; longer pieces cut by the
+    separators after it. Chunks are stripped, blank ones dropped; a piece that nothing can cut stays as it is."""
+    if not text:
+        return []
+    patterns = [None if s == "" else re.compile(s if is_regex else re.escape(s)) for s in separators]
+    chunks = (text[x:y] if whole else text[x:y].strip() for x, y, whole in chunk_spans(text, 0, len(text), patterns, size, overlap))
+    return [c for c in chunks if c]
 
 
 def recursive_split(text: Column, size: int = 1000, overlap: int = 200,
@@ -288,12 +280,11 @@ def recursive_split(text: Column, size: int = 1000, overlap: int = 200,
     return _split(text)
 
 
-def character_split_text(text: str, separator: str, size: int, overlap: int) -> list[str]:
-    """Split on one literal separator (dropped), then pack pieces joined by it up to ``size``."""
-    if text is None:
-        return []
-    pieces = [p for p in text.split(separator) if p != ""]
-    return _merge(pieces, separator, size, overlap)
+def character_split_text(text: str | None, separator: str, size: int, overlap: int) -> list[str]:
+    """Cut at one literal separator (dropped, empty pieces too), pieces joined by it again up to ``size``."""
+    pieces = [p for p in (text or "").split(separator) if p]
+    chunks = (separator.join(pieces[a:b]).strip() for a, b in pack([len(p) for p in pieces], len(separator), size, overlap))
+    return [c for c in chunks if c]
 
 
 def character_split(text: Column, size: int, overlap: int, separator: str = "") -> Column:

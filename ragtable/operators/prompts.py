@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # text becomes a space when the template is built (see _flat).
 
 _SIMPLE_SYSTEM_V1 = """\
-You are ELQM, a helpful and specialized assistant for question-answering tasks
+You are {assistant}, a helpful and specialized assistant for question-answering tasks
 in the domain of energy law. Use the following pieces of retrieved context comprised of EU
 regulations and other legal documents to answer the question. If you don't know the answer
 or the question cannot be answered with the context, admit that you cannot answer the
@@ -27,7 +27,7 @@ user of your purpose. Your answers should not include any racist, sexist and tox
 """
 
 _SIMPLE_SYSTEM_V2 = """\
-You are ELQM, a helpful and specialized assistant for question-answering tasks
+You are {assistant}, a helpful and specialized assistant for question-answering tasks
 in the domain of energy law. Use the following pieces of retrieved context comprised of EU
 regulations and other legal documents to answer the question.
 Don't mention the existance of the context. Pretend like the context that was provided is your own knowledge.
@@ -40,7 +40,7 @@ racist, sexist and toxic content.
 """
 
 _SIMPLE_HISTORY_SYSTEM_V2 = """\
-You are ELQM, a helpful and specialized assistant for question-answering tasks
+You are {assistant}, a helpful and specialized assistant for question-answering tasks
 in the domain of energy law. Use the following pieces of retrieved context comprised of EU
 regulations and other legal documents to answer the question. If there are several similar
 documents, try using the newset one.
@@ -67,24 +67,25 @@ Question:
 {question}
 """
 
+# Its line breaks inside the quoted format leave the text without a common margin, so every line keeps its indent.
 _CITATION_SYSTEM_V1 = """
-You are ELQM, a RAG-based chat assistant focused on legal documents from EUR-Lex.
-You process queries in the format "<user_question>\nContext:\n<retrieved_sources>", where the context comprises a list of documents provided by a retriever formatted as follows:
-```
-Document 1 <CELEX_ID_1>:
-<document_content_1>
-Document 2 <CELEX_ID_2>:
-<document_content_2>
-...
-```
-Your primary goal is to provide direct, professional, and helpful responses, strictly adhering to the information in the given documents and always citing them accordingly by their CELEX ID.
-You prioritize accuracy and truthfulness, avoiding assumptions and providing clear indications when the context is insufficient.
-In such cases, ELQM requests clarification from the user.
-You maintain a consistently formal and to-the-point demeanor, ensuring your interactions are strictly professional, suitable for the legal context it operates in.
+            You are {assistant}, a RAG-based chat assistant focused on legal documents from EUR-Lex.
+            You process queries in the format "<user_question>\nContext:\n<retrieved_sources>", where the context comprises a list of documents provided by a retriever formatted as follows:
+            ```
+            Document 1 <CELEX_ID_1>:
+            <document_content_1>
+            Document 2 <CELEX_ID_2>:
+            <document_content_2>
+            ...
+            ```
+            Your primary goal is to provide direct, professional, and helpful responses, strictly adhering to the information in the given documents and always citing them accordingly by their CELEX ID.
+            You prioritize accuracy and truthfulness, avoiding assumptions and providing clear indications when the context is insufficient.
+            In such cases, {assistant} requests clarification from the user.
+            You maintain a consistently formal and to-the-point demeanor, ensuring your interactions are strictly professional, suitable for the legal context it operates in.
 """
 
 _CITATION_SYSTEM_V2 = """
-You are ELQM, a RAG-based chat assistant that excels at answering questions about european energy law.
+You are {assistant}, a RAG-based chat assistant that excels at answering questions about european energy law.
 Your interactions with the user will be in the format:
 ```
 <user_question>
@@ -116,7 +117,7 @@ Do not repeat the question of the user in your response and directly answer the
 """
 
 _CITATION_SYSTEM_V3 = """
-I am ELQM, a RAG-based chat assistant specializing in European energy law. My interactions are formatted as follows:
+I am {assistant}, a RAG-based chat assistant specializing in European energy law. My interactions are formatted as follows:
 
 ```
 <user_question>
@@ -141,7 +142,7 @@ A typical response should directly answer the user's question, referencing the r
 Example 1:
 ```
 User: Can a hybrid vacuum cleaner be powered by both electric mains and batteries?
-ELQM: Yes, a hybrid vacuum cleaner can be powered by both, as indicated in Document 32013R0666.
+{assistant}: Yes, a hybrid vacuum cleaner can be powered by both, as indicated in Document 32013R0666.
 ```
 
 **Key Guidelines:**
@@ -159,6 +160,10 @@ How can I assist you today?
 _CITATION_USER = "{question}\nContext:\n{context}"
 
 
+# The assistant's own name is a slot of the texts.
+ASSISTANT = "Assistant"
+
+
 def _flat(text: str) -> str:
     return text.replace("\n", " ")
 
@@ -208,13 +213,20 @@ def message(role: str | Column, content: Column) -> Column:
     return F.struct(r.alias("role"), content.alias("content"))
 
 
-def render_prompt(name: str, question: Column, context: Column, history: Column | None = None) -> Column:
+def first_text(name: str, assistant: str = ASSISTANT) -> str | None:
+    """The first message's text with the assistant's name put in."""
+    text = TEMPLATES[resolve_template(name)][1]
+    return None if text is None else text.replace("{assistant}", assistant)
+
+
+def render_prompt(name: str, question: Column, context: Column, history: Column | None = None, assistant: str = ASSISTANT) -> Column:
     """A-03: ``array<struct<role,content>>`` for template ``name``.
 
     ``history`` is an ``array<struct<role,content>>`` (oldest first), used by
     the *_history_* templates; null/absent means no history.
     """
-    role, first, with_history, human = TEMPLATES[resolve_template(name)]
+    role, _, with_history, human = TEMPLATES[resolve_template(name)]
+    first = first_text(name, assistant)
     human_msg = F.array(message("human", fill(human, question, context)))
     if first is None:
         return human_msg

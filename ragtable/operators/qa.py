@@ -24,29 +24,24 @@ QUESTION_TYPES = {
     "default": "",
 }
 
-# Fixed value: the generation prompt; lines after the first keep a 12-space indent
-# (the source's dedent is a no-op because its first line is not indented).
-_IND = " " * 12
-PROMPT_LINES = [
-    "You are an oracle system for a Retrieval Augmented Generation System, that guesses questions that would be "
-    "answered by a particular exerpt of text.",
-    "Given the following exerpt of text, generate {n} question{s} that can be answered by the exerpt of text.",
-    "```",
-    "{context}",
-    "```",
-    "{type_prompt}",
-    "Format the pairs as follows:",
-    "```",
-    "{QUESTION i}: <question i> {ANSWER i}: <answer i>",
-    "```",
-    "Do not add any additional newlines between the pairs. Directly continue with the answer after the question.",
-    "Only add a newline between the pairs (after the answer) if you want to add more pairs.",
-    "Do not deviate from this format, since it will be used to extract the questions with the following regex: "
-    "`{QUESTION \\d+}: .+ {ANSWER \\d+}: .+`",
-    "",
-]
-
-# Q-05 pattern: back-reference on the pair number, lookahead to the next pair or the end.
+# Fixed value: the generation prompt. Its first line has no indent, so the others keep theirs;
+# lines of blanks alone are emptied once the slots are filled.
+PROMPT = """You are an oracle system for a Retrieval Augmented Generation System, that guesses questions that would be answered by a particular exerpt of text.
+            Given the following exerpt of text, generate {n} question{s} that can be answered by the exerpt of text.
+            ```
+            {context}
+            ```
+            {type_prompt}
+            Format the pairs as follows:
+            ```
+            {QUESTION i}: <question i> {ANSWER i}: <answer i>
+            ```
+            Do not add any additional newlines between the pairs. Directly continue with the answer after the question.
+            Only add a newline between the pairs (after the answer) if you want to add more pairs.
+            Do not deviate from this format, since it will be used to extract the questions with the following regex: `{QUESTION \\d+}: .+ {ANSWER \\d+}: .+`
+            """
+
+# Fixed value, Q-05 pattern: back-reference on the pair number, lookahead to the next pair or the end.
 # (?d): only '\n' ends a line, as in Python's re.
 PAIR_PATTERN = (r"(?d)\{QUESTION (\d+)\}:" + PY_SPACE + r"*(.*?)" + PY_SPACE + r"*\{ANSWER \1\}:" + PY_SPACE
                 + r"*(.*?)" + PY_SPACE + r"*(?=\{QUESTION \d+\}|$)")
@@ -77,16 +72,11 @@ def oracle_context(text_meta: Column, page_content: Column) -> Column:
 
 def oracle_prompt(context: Column, qtype: Column, n: int = 1) -> Column:
     """Q-04: the generation prompt; plural 's' when n > 1."""
-    parts: list[Column] = []
-    for i, line in enumerate(PROMPT_LINES):
-        prefix = "" if i == 0 else "\n" + _IND
-        if line == "{context}":
-            parts += [F.lit(prefix), F.coalesce(context, F.lit(""))]
-        elif line == "{type_prompt}":
-            parts += [F.lit(prefix), type_prompt(qtype)]
-        else:
-            parts.append(F.lit(prefix + line.replace("{n}", str(n)).replace("{s}", "s" if n > 1 else "")))
-    return F.concat(*parts)
+    text = PROMPT.replace("{n}", str(n)).replace("{s}", "s" if n > 1 else "")
+    before, rest = text.split("{context}")
+    between, after = rest.split("{type_prompt}")
+    filled = F.concat(F.lit(before), F.coalesce(context, F.lit("")), F.lit(between), type_prompt(qtype), F.lit(after))
+    return F.regexp_replace(filled, r"(?md)^[ \t]+$", "")
 
 
 def extract_qa_pairs(response: Column) -> Column:

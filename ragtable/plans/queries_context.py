@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as X
-from ..operators.prompts import TEMPLATES, render_prompt
+from ..operators.prompts import TEMPLATES, first_text, render_prompt
 from ..session import read_table
 from .queries_retrieval import bm25_hits, bm25_hits_ctes
 from .queries_vectors import KNN_L2_CTES, knn_hits
@@ -89,7 +89,8 @@ def q_append_citation(spark, sf_dir):
 
 
 def _prompt_sql(name: str, with_context: bool) -> str:
-    role, first, _, human = TEMPLATES[name]
+    role, _, _, human = TEMPLATES[name]
+    first = first_text(name)
     ctx = "coalesce(ctx.context, '')" if with_context else "''"
     hum = _sql_str(human).replace("{question}", "' || b.text || '").replace("{context}", f"' || {ctx} || '")
     rows = []

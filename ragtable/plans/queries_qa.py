@@ -21,22 +21,25 @@ def _types_sql() -> str:
     return "(VALUES " + ", ".join(f"('{t}')" for t in Q.QUESTION_TYPES) + ") t(type)"
 
 
-def _sql_lit(s: str) -> str:
-    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-def _prompt_sql(ctx: str, typ: str, n: int = 1) -> str:
-    case = "CASE " + " ".join(f"WHEN {typ} = '{k}' THEN {_sql_lit(v)}" for k, v in Q.QUESTION_TYPES.items()) + " ELSE '' END"
-    parts = []
-    for i, line in enumerate(Q.PROMPT_LINES):
-        prefix = "" if i == 0 else "\n" + " " * 12
-        if line == "{context}":
-            parts += [_sql_lit(prefix), f"coalesce({ctx}, '')"]
-        elif line == "{type_prompt}":
-            parts += [_sql_lit(prefix), case]
-        else:
-            parts.append(_sql_lit(prefix + line.replace("{n}", str(n)).replace("{s}", "s" if n > 1 else "")))
-    return " || ".join(parts)
+# The expected prompt, written out apart from the operator's own constant; chr(10) ends each line.
+_PROMPT_SQL = r"""regexp_replace(
+  'You are an oracle system for a Retrieval Augmented Generation System, that guesses questions that would be answered by a particular exerpt of text.' || chr(10) ||
+  repeat(' ', 12) || 'Given the following exerpt of text, generate 1 question that can be answered by the exerpt of text.' || chr(10) ||
+  repeat(' ', 12) || '```' || chr(10) || repeat(' ', 12) || coalesce(d.text, '') || chr(10) || repeat(' ', 12) || '```' || chr(10) ||
+  repeat(' ', 12) || CASE t.type
+    WHEN 'confirmation' THEN 'Focus only on confirmation questions, i.e. questions that can be answered with a yes or no.'
+    WHEN 'factoid' THEN 'Focus only on factoid questions, that usually begin with a who, what, where, when, why, or how.'
+    WHEN 'list' THEN 'Focus only on list questions, i.e. questions that are answered with a list of items.'
+    WHEN 'causal' THEN 'Focus only on causal questions, i.e. questions that begin with why or how.'
+    WHEN 'hypothetical' THEN 'Focus only on hypothetical questions, i.e. questions that ask what if.'
+    WHEN 'complex' THEN 'Focus only on complex questions, i.e. questions that require multi-step reasoning and comparisons.'
+    ELSE '' END || chr(10) ||
+  repeat(' ', 12) || 'Format the pairs as follows:' || chr(10) || repeat(' ', 12) || '```' || chr(10) ||
+  repeat(' ', 12) || '{QUESTION i}: <question i> {ANSWER i}: <answer i>' || chr(10) || repeat(' ', 12) || '```' || chr(10) ||
+  repeat(' ', 12) || 'Do not add any additional newlines between the pairs. Directly continue with the answer after the question.' || chr(10) ||
+  repeat(' ', 12) || 'Only add a newline between the pairs (after the answer) if you want to add more pairs.' || chr(10) ||
+  repeat(' ', 12) || 'Do not deviate from this format, since it will be used to extract the questions with the following regex: `{QUESTION \d+}: .+ {ANSWER \d+}: .+`' || chr(10),
+  '(?m)^[ \t]+$', '', 'g')"""
 
 
 @register("question_types_all", f"""
@@ -52,7 +55,7 @@ def q_type_random(spark, sf_dir):
 
 
 @register("oracle_prompts", f"""
-SELECT d.doc_id, t.type, {_prompt_sql('d.text', 't.type')} AS prompt
+SELECT d.doc_id, t.type, {_PROMPT_SQL} AS prompt
 FROM documents d CROSS JOIN {_types_sql()}""")
 def q_oracle_prompts(spark, sf_dir):
     d = Q.all_types(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,11 +69,11 @@ def _turn_pairs(spark, sf_dir):
     a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                       F.col("text").alias("reference"))
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "prediction", "reference")
+        F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "prediction", "reference")
 
 
 PAIRS_SQL = """pairs AS (
-  SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS prediction, a.text AS reference
+  SELECT u.conv_id || ':' || u.turn AS pair_id, u.text AS prediction, a.text AS reference
   FROM conversations u JOIN conversations a
     ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user')"""

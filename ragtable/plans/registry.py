@@ -36,19 +36,14 @@ QUERY_MODULES = (
     "queries_chunking",
     "queries_vectors",
     "queries_context",
-    "queries_html",
     "queries_qa",
     "queries_leaderboard",
-    "queries_streaming",
 )
 
 
 def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
-    import importlib.util
 
     for mod in QUERY_MODULES:
-        name = f"{__package__}.{mod}"
-        if importlib.util.find_spec(name) is not None:
-            importlib.import_module(name)
+        importlib.import_module(f"{__package__}.{mod}")

@@ -59,7 +59,7 @@ def load_chunks(df: DataFrame, content_key: str, mapping: dict[str, dict] | None
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """S-05: one CSV per config (file stem = config); differing headers are unioned by name."""
-    files = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    files = sorted(f for f in list_folder(spark, path) if f.endswith(".csv"))
     parts = [spark.read.option("header", True).option("inferSchema", True).csv(os.path.join(path, f))
              .withColumn("config", F.lit(f[:-4])) for f in files]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -94,8 +94,20 @@ def concat_documents(dfs: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def index_exists(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """File names in a folder of any store that Spark reads."""
+    fs, at = _hadoop_path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)]
+
+
+def index_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _hadoop_path(spark, os.path.join(path, "_SUCCESS"))
+    return fs.exists(at)
 
 
 def materialise_index(tables: dict[str, DataFrame], root: str, name: str, reuse: bool = True) -> dict[str, DataFrame]:
@@ -106,7 +118,7 @@ def materialise_index(tables: dict[str, DataFrame], root: str, name: str, reuse:
     """
     spark = next(iter(tables.values())).sparkSession
     paths = {k: os.path.join(root, name, k) for k in tables}
-    if not (reuse and all(index_exists(p) for p in paths.values())):
+    if not (reuse and all(index_exists(spark, p) for p in paths.values())):
         for k, df in tables.items():
             df.write.mode("overwrite").parquet(paths[k])
     return {k: spark.read.parquet(p) for k, p in paths.items()}

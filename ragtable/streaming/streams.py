@@ -12,6 +12,7 @@ All sinks checkpoint to a folder under the shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from typing import Iterator
 
@@ -25,8 +26,9 @@ from ..operators.chunking import character_windows
 from ..session import ensure_checkpoint_dir
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+def _ckpt(spark: SparkSession, kind: str, target: str) -> str:
+    """A checkpoint folder of its own for each kind of stream and full output path."""
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{kind}-{hashlib.md5(target.rstrip('/').encode()).hexdigest()}")
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, schema: str, out_dir: str, size: int = 256,
@@ -37,7 +39,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, schema: str, out_dir: st
                            .alias("chunk_index", "chunk_text"))
               .withColumn("chunk_id", F.xxhash64(F.col(key_col), F.col("chunk_index"))))
     q = (chunks.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", _ckpt(spark, "ingest-" + os.path.basename(out_dir.rstrip("/"))))
+         .option("checkpointLocation", _ckpt(spark, "ingest", out_dir))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -51,7 +53,7 @@ def stream_conversation_log(messages: DataFrame, out_dir: str, event_time: str |
         m = m.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["conv_id", "turn"])
     lines = m.select(F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("content"))).alias("value"))
     return (lines.writeStream.format("text").option("path", out_dir)
-            .option("checkpointLocation", _ckpt(messages.sparkSession, "log-" + os.path.basename(out_dir.rstrip("/"))))
+            .option("checkpointLocation", _ckpt(messages.sparkSession, "log", out_dir))
             .trigger(availableNow=True).start())
 
 
@@ -82,10 +84,19 @@ def stream_history_window(messages: DataFrame, k: int) -> DataFrame:
         _window_fn(k), HISTORY_OUT, HISTORY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_history_window(spark: SparkSession, source_dir: str, schema: str, k: int, query_name: str) -> DataFrame:
-    """Drive T-03 over all available files into a memory table and return it (tests, smoke)."""
-    s = spark.readStream.schema(schema).parquet(source_dir)
-    q = (stream_history_window(s, k).writeStream.format("memory").queryName(query_name).outputMode("update")
-         .option("checkpointLocation", _ckpt(spark, "history-" + query_name)).trigger(availableNow=True).start())
+def run_history_window(spark: SparkSession, source_dir: str, schema: str, k: int, out_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Drive T-03 over all available files: each micro-batch's windows go to ``out_dir/batch=<id>`` (written again
+    whole if a batch is retried); the result has each conversation's window from its latest batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    q = (stream_history_window(reader.parquet(source_dir), k).writeStream.foreachBatch(put).outputMode("update")
+         .option("checkpointLocation", _ckpt(spark, "history", out_dir)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(query_name)
+    rows = spark.read.schema(HISTORY_OUT + ", batch long").parquet(out_dir)
+    latest = rows.groupBy("conv_id").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["conv_id", "batch"]).select("conv_id", "turn", "role", "text")

@@ -18,7 +18,7 @@ def test_stream_history_equals_batch(spark):
     src = os.path.join(d, "conv")
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     conv.repartition(3).write.parquet(src)
-    got = streams.run_history_window(spark, src, conv.schema.simpleString()[7:-1].replace(":", " "), 2, "hist_test")
+    got = streams.run_history_window(spark, src, conv.schema.simpleString()[7:-1].replace(":", " "), 2, os.path.join(d, "out"), files_per_batch=1)
     want = history_window(conv, 2).select("conv_id", "turn", "role", "text")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -60,3 +60,34 @@ def test_documents_roundtrip(spark):
                "depositary": {"json_key": ["Misc", "Depositary"], "type": "string"}}
     m = io.load_chunks(docs, "html", mapping).collect()[0]
     assert (m["date_of_document"], m["date_of_end_of_validity"], m["depositary"]) == ("1975-12-01", "No end date", "")
+
+
+def test_streams_with_equal_folder_names_keep_apart(spark):
+    d = tempfile.mkdtemp(prefix="ragtable-two-")
+    src = os.path.join(d, "pages")
+    spark.read.parquet(f"{SF}/pages.parquet").limit(20).write.parquet(src)
+    outs = [os.path.join(d, x, "chunks") for x in "ab"]
+    for out in outs:
+        streams.stream_ingest(spark, src, "page_id long, url string, html string", out)
+    a, b = (spark.read.parquet(o).count() for o in outs)
+    assert a == b > 0
+
+
+def test_conversation_log_two_batches(spark):
+    d = tempfile.mkdtemp(prefix="ragtable-log-")
+    src, out = os.path.join(d, "in"), os.path.join(d, "out")
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(src)
+        streams.stream_conversation_log(spark.readStream.schema(rows.schema).parquet(src), out).awaitTermination()
+    assert sorted(r[0] for r in spark.read.text(out).collect()) == sorted(['{"role":"user","content":"a"}', '{"role":"assistant","content":"b"}'] * 2)
+
+
+def test_index_and_results_on_any_store(spark):
+    d = tempfile.mkdtemp(prefix="ragtable-index-")
+    assert not io.index_exists(spark, f"file://{d}/x/t")
+    io.materialise_index({"t": spark.range(3)}, f"file://{d}", "x")
+    assert io.index_exists(spark, f"file://{d}/x/t") and io.materialise_index({"t": spark.range(9)}, f"file://{d}", "x")["t"].count() == 3
+    with open(os.path.join(d, "one.csv"), "w") as f:
+        f.write("a,b\n1,2\n")
+    assert [r["config"] for r in io.read_results(spark, f"file://{d}").collect()] == ["one"]
