@@ -14,37 +14,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragtable.llm import decontam, mixing, near_dedup, quality, suffix_dedup, toxicity
+from ragtable.llm.kernels import bound_batches
 from ragtable.session import ensure_checkpoint_dir, read_table
 
 
+def _prepare(spark: SparkSession) -> None:
+    ensure_checkpoint_dir(spark)
+    bound_batches(spark)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: rejected documents go. Labels of held-out rows are not learned."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     labels = read_table(spark, sf_dir, "labels").where(quality.fold(F.col("doc_id"), 3) != 1)
     return toxicity.drop_toxic(docs, labels)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 on shingles of five words: one document of each component stays, the smallest doc_id."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return near_dedup.drop_near_duplicates(docs, k=5, percent=80)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages of 400 bytes or more that occur again are cut out of the texts."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: contaminated documents go."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: each document's share in the mix and where its first pass begins, in training order."""
-    ensure_checkpoint_dir(spark)
+    _prepare(spark)
     return mixing.document_order(mixing.mix_sources(docs))
 
 

@@ -12,8 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 BLOCK_BYTES = 1 << 18
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_DEFAULT = "10000"
 
 _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
@@ -21,6 +25,12 @@ _STEP = _U64(0x5851F42D4C957F2D)
 _STEP_INV = _U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand workers at most BATCH_ROWS rows at a time, as rows hold whole texts; a session's own setting stays."""
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def _table(flags) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[[i for i in range(256) if flags(i)]] = True

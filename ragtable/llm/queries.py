@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
 from . import chat, decontam, licenses, line_rules, mixing, near_dedup, quality, suffix_dedup, toxicity, url_graph
+from .kernels import bound_batches
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,7 @@ def _query(name: str, sql: str | None = None):
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    bound_batches(spark)
     return read_table(spark, sf_dir, "documents")
 
 
