@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+#: edges that one task of a round handles; rounds on few edges take few tasks, whatever the cluster's shuffle partitions
+EDGES_PER_TASK = 250_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -26,14 +30,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     for _ in range(max_rounds):
         if not state[0]:
             break
+        tasks = -(-state[0] // EDGES_PER_TASK)  # a round never has more edges than the one before
+        cur = cur.coalesce(tasks)
         both = cur.select(F.col("a").alias("x"), F.col("b").alias("y")).union(cur.select("b", "a"))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = (both.where(F.col("y") > F.col("x")).join(low, "x")
-                 .select(F.col("m").alias("a"), F.col("y").alias("b")).where(F.col("a") < F.col("b")).distinct())
+                 .select(F.col("m").alias("a"), F.col("y").alias("b")).where(F.col("a") < F.col("b")).coalesce(tasks))
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (large.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
-                 .union(least.select("m", "b")).distinct())
-        cur = cut_lineage(small)
+        small = (large.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b")).coalesce(tasks)
+                 .union(least.select("m", "b").coalesce(tasks)).distinct())
+        cur = cut_lineage(small.coalesce(tasks))
         now = _state(cur)
         if now == state:
             break

@@ -256,7 +256,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_
                .join(content.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y"))
     more = cut_lineage(_block_links(against, least, n_hashes, batch, percent))
     if not more.isEmpty():
-        comps = connected_components(links.union(more))
+        comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
     of = nodes.select("node", "rep", "copies").join(comps, "node", "left").where("copies > 1 OR component IS NOT NULL")
     low = of.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("low"))
