@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import footnotes
 from ..functions import text as T
-from ..functions.html import html_to_text, html_to_text_sql
+from ..functions.html import MARKUP, html_to_text, html_to_text_sql, unescape_sql
+from ..operators.header_split import html_header_split
 from ..operators.links import build_link_table
 from ..session import read_table
 from .registry import register
@@ -110,3 +112,55 @@ SELECT count(*) AS n_pages,
 FROM pages""")
 def q_text_only_share(spark, sf_dir):
     return T.text_only_share(read_table(spark, sf_dir, "pages"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_NOTE_TEXT = (f"regexp_replace(replace(array_to_string(list_transform(list_filter(string_split_regex(n, {_quoted(MARKUP)}), lambda s: s <> ''), "
+              f"lambda s: regexp_replace({unescape_sql('s')}, {_quoted(footnotes.EDGE_SPACE)}, '', 'g')), ''), chr(160), ' '), {_quoted(footnotes.NUMBER)}, '')")
+
+
+@register("resolve_footnotes", f"""
+WITH cut AS (
+  SELECT page_id, regexp_replace(html, {_quoted(footnotes.NOTE)}, '', 'g') AS body,
+         list_filter(list_transform(regexp_extract_all(html, {_quoted(footnotes.NOTE)}), lambda n: {{'id': regexp_extract(
+           regexp_extract(n, {_quoted(footnotes.FIRST_LINK)}), {_quoted(footnotes.ID)}, 1), 'text': {_NOTE_TEXT}}}), lambda x: x.id <> '') AS known FROM pages),
+parts AS (
+  SELECT page_id, known, string_split_regex(body, {_quoted(footnotes.REFERENCE)}) AS pieces,
+         regexp_extract_all(body, {_quoted(footnotes.REFERENCE)}) AS refs FROM cut)
+SELECT page_id, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce(
+         '(' || replace(replace(replace(list_filter(known, lambda x: x.id = regexp_extract(refs[i], {_quoted(footnotes.TARGET)}, 1))[-1].text,
+                                        '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ')', refs[i], '')), '') AS html
+FROM parts""")
+def q_resolve_footnotes(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", footnotes.resolve_footnotes(F.col("html")).alias("html"))
+
+
+def _line(sql: str) -> str:
+    return f"trim(regexp_replace({sql}, '{PY_SPACE}+', ' ', 'g'))"
+
+
+@register("html_header_split", f"""
+WITH cut AS (
+  SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<(?:h1|h2)\\b[^>]*>.*?</(?:h1|h2)\\s*>') AS hs,
+         string_split_regex(coalesce(html, ''), '(?is)<(?:h1|h2)\\b[^>]*>.*?</(?:h1|h2)\\s*>') AS bodies FROM pages),
+pieces AS (
+  SELECT page_id, unnest(range(len(bodies))) AS pos, unnest(bodies) AS html, unnest([NULL] || hs) AS header FROM cut),
+named AS (
+  SELECT page_id, pos, {_line(html_to_text_sql('html'))} AS html, lower(header[2:3]) AS tag,
+         {_line(html_to_text_sql('header'))} AS title FROM pieces),
+paths AS (
+  SELECT page_id, pos, html,
+         last_value(CASE WHEN tag = 'h1' THEN title END IGNORE NULLS) OVER w AS title1,
+         last_value(CASE WHEN tag = 'h2' THEN title END IGNORE NULLS) OVER w AS title2,
+         coalesce(max(CASE WHEN tag = 'h2' THEN pos END) OVER w > coalesce(max(CASE WHEN tag = 'h1' THEN pos END) OVER w, -1), false) AS under
+  FROM named WINDOW w AS (PARTITION BY page_id ORDER BY pos))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS chunk_index, html,
+       title1 AS "HTMLSplitter_Header 1", CASE WHEN under THEN title2 END AS "HTMLSplitter_Header 2"
+FROM paths WHERE html <> ''""")
+def q_html_header_split(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_header_split(p, [("h1", "Header 1"), ("h2", "Header 2")], "html")
