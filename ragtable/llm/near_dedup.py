@@ -8,8 +8,9 @@
    smallest node, which joins most of a group of near copies at once.
 3. Buckets that still hold several components are tried exhaustively, in blocks:
    members go to blocks of about ``BLOCK_BYTES``, and only blocks that share a
-   bucket meet, in one row per pair of blocks, which returns the links that join
-   components. So there is no cap, and no pair of texts becomes a row.
+   bucket and know two of its components meet, in one row per pair of blocks, which
+   returns the links that join components. So there is no cap, and no pair of texts
+   becomes a row.
 4. A candidate pair's signatures are compared batch by batch. With a uniform
    prior, the posterior after m matches in n is Beta(m+1, n-m+1); a pair goes
    once P(J >= threshold) is under ``miss``. Survivors are verified on the full
@@ -244,13 +245,19 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_
     member = members.join(comps, "node", "left").select("bk", "node", "hub", F.coalesce("component", "node").alias("comp"))
     open_ = member.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("bk")
     member = cut_lineage(member.join(open_, "bk"))
-    placed = member.groupBy("node", "comp").agg(F.min("hub").alias("g")).join(info, "node")
-    weight = placed.groupBy("g").agg(F.ceil(F.sum(F.col("n") * 8 + 4 * n_hashes) / block_bytes).alias("parts"))
-    placed = cut_lineage(placed.join(weight, "g").select(
-        "node", "comp", "sig", "items", F.xxhash64("g", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
-    in_block = member.select("bk", "node").join(placed.select("node", "block"), "node").select("bk", "block").distinct()
-    block_pairs = (in_block.select("bk", F.col("block").alias("x")).join(in_block.select("bk", F.col("block").alias("y")), "bk")
-                   .where("x <= y").select("x", "y").distinct())
+    # a group's blocks hold its hub's component or the rest, so most pairs of blocks know one component only and can't join any
+    home = (member.groupBy("node", "comp").agg(F.min("hub").alias("g"))
+            .join(comps.select(F.col("node").alias("g"), F.col("component").alias("hub_comp")), "g", "left")
+            .select("node", "comp", "g", (F.col("comp") == F.coalesce("hub_comp", "g")).alias("main")))
+    placed = home.join(info, "node")
+    weight = placed.groupBy("g", "main").agg(F.ceil(F.sum(F.col("n") * 8 + 4 * n_hashes) / block_bytes).alias("parts"))
+    placed = cut_lineage(placed.join(weight, ["g", "main"]).select(
+        "node", "comp", "sig", "items", F.xxhash64("g", "main", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")))
+    in_block = (member.select("bk", "node", "comp").join(placed.select("node", "block"), "node")
+                .groupBy("bk", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    sides = [in_block.select("bk", F.col("block").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in ("x", "y")]
+    block_pairs = (sides[0].join(sides[1], "bk").where("x <= y AND least(lo_x, lo_y) < greatest(hi_x, hi_y)")
+                   .select("x", "y").distinct())
     content = cut_lineage(placed.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "items")).alias("rows")))
     against = (block_pairs.join(content.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x")
                .join(content.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y"))
@@ -271,6 +278,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     doc_id identifies a document: where several rows carry one id, they stay or go together.
     """
-    kept = (near_duplicate_components(docs, k, percent).where("kept").select(F.col("doc_id").alias("_near_id"))).distinct()
-    stay = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"])
+    rows = near_duplicate_components(docs, k, percent).groupBy(F.col("doc_id").alias("_near_id")).agg(F.count("*").alias("_near_rows"), F.max("kept").alias("_near_kept"))
+    kept = cut_lineage(rows.where("_near_kept"))
+    one_id = docs["doc_id"].cast("long").eqNullSafe(F.col("_near_id"))
+    once, again = (docs.join(kept.where(w).select("_near_id"), one_id, "left_semi") for w in ("_near_rows = 1", "_near_rows > 1"))
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))  # only rows of a repeated id are compared by their texts
