@@ -37,9 +37,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: passages of 400 bytes or more that occur again are cut out of the texts."""
+    """Operator 7 on words: passages of over 50 words that occur again are cut out of the texts."""
     _prepare(spark)
-    return suffix_dedup.remove_repeats(docs)
+    return suffix_dedup.remove_repeats(docs, **suffix_dedup.PASSAGES)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,14 +99,14 @@ class Words:
 
 
 class PrefixHash:
-    """Hash of any byte range of a block in O(1) (64-bit wrapping polynomial over random byte values)."""
+    """Hash of any range of a block in O(1) (64-bit wrapping polynomial over random byte values, or over hashes given as uint64)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         step = np.full(n + 1, _STEP)
         step[0] = 1
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_HASH[data] * np.cumprod(step)[:-1], out=self.sums[1:])
+        np.cumsum((data if data.dtype == np.uint64 else _BYTE_HASH[data]) * np.cumprod(step)[:-1], out=self.sums[1:])
         step[1:] = _STEP_INV
         self.inverse = np.cumprod(step)
 

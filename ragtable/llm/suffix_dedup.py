@@ -22,8 +22,12 @@ fingerprints: equal names, equal strings), not letter by letter:
    pairs, and highly repetitive text costs its dictionary, not its length.
 4. Repeats go back to their texts as byte spans.
 
+Texts are parsed as bytes, or as words (``words``): a letter is then a word's
+hash, the windows are ``length`` words that follow each other, whatever white
+space parts them, and each run of repeated words goes from its first to its last.
+
 Defined results: null or empty text has no bytes; texts under ``length`` bytes
-lose nothing; equal rows are copies of each other and lose all bytes; an
+(words) lose nothing; equal rows are copies of each other and lose all bytes; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -38,15 +42,25 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .decontam import merged
-from .kernels import PrefixHash, blocks, mix64
+from .kernels import PrefixHash, Words, blocks, mix64
 from .slots import may_contain, slot_filter
 
 LENGTH = 400
 SPACING = 120
 GRAM = 12
+#: passages of over 50 words
+PASSAGES = {"length": 51, "spacing": 17, "gram": 3, "words": True}
 _POS_BITS = 31
 
 
+def _letters(data: np.ndarray, off: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What a block is parsed as, and its rows' offsets in it: the bytes themselves, or a hash for each word."""
+    if not words:
+        return data, off
+    found = Words(data, off)
+    return PrefixHash(data).span(found.start, found.end), found.bounds
+
+
 def _triggers(names: PrefixHash, off: np.ndarray, spacing: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted trigger positions of a block and their rows."""
     n = int(off[-1]) - gram + 1
@@ -86,20 +100,20 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: in
     return row, first - off[row], last - first + 1, core, whole
 
 
-def _cores(length, spacing, gram):
+def _cores(length, spacing, gram, words):
     def run(batches):
         for _, data, off in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(phrases(data, off, length, spacing, gram)[3].view(np.int64))], names=["core"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrases(*_letters(data, off, words), length, spacing, gram)[3].view(np.int64))], names=["core"])
 
     return run
 
 
-def _parse(length, spacing, gram, repeated):
+def _parse(length, spacing, gram, words, repeated):
     """Phrases whose core may be one of the ``repeated`` ones."""
 
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
-            row, first, n, core, whole = phrases(data, off, length, spacing, gram)
+            row, first, n, core, whole = phrases(*_letters(data, off, words), length, spacing, gram)
             pick = np.flatnonzero(may_contain(repeated.value, core))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0).take(pa.array(row[pick])), pa.array(core[pick].view(np.int64)), pa.array(whole[pick].view(np.int64)),
@@ -119,12 +133,13 @@ def _among(rows: DataFrame, keys, inside: bool) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _window_names(length):
+def _window_names(length, words):
     """Rows (text, phrases array<struct<first, n, whole, size>>) -> a named row for each window of each phrase."""
 
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             listed = rows.column(2)
+            data, off = _letters(data, off, words)
             names, flat = PrefixHash(data), listed.flatten()
             n = flat.field("n").to_numpy().astype(np.int64)
             at_row = np.repeat(np.arange(rows.num_rows), listed.value_lengths().to_numpy())
@@ -140,19 +155,19 @@ def _window_names(length):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, gram: int = GRAM, words: bool = False) -> DataFrame:
     """(rk, row, text, spans) for every row: its other columns as ``row``, the starts of its repeated windows as ``spans`` (null: none)."""
     rows = docs.select(F.xxhash64(docs["doc_id"], docs["text"]).alias("rk"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), docs["text"].alias("text"))
-    again = cut_lineage(rows.select("text").mapInArrow(_cores(length, spacing, gram), "core long")
+    again = cut_lineage(rows.select("text").mapInArrow(_cores(length, spacing, gram, words), "core long")
                         .groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
-    parse = rows.select("rk", "text").mapInArrow(_parse(length, spacing, gram, slot_filter(again, "core")), "rk long, core long, whole long, first int, n int")
+    parse = rows.select("rk", "text").mapInArrow(_parse(length, spacing, gram, words, slot_filter(again, "core")), "rk long, core long, whole long, first int, n int")
     parse = cut_lineage(parse.join(again, "core"))
     classes = cut_lineage(parse.groupBy("core", "whole").agg(F.count("*").alias("size"), F.min(F.struct("rk", "first", "n")).alias("p")))
     many = classes.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
     probes = cut_lineage(classes.join(many, "core").groupBy(F.col("p.rk").alias("rk"))
                          .agg(F.collect_list(F.struct("p.first", "p.n", "size")).alias("probes")))
     windows = (_among(rows.select("rk", "text"), slot_filter(probes, "rk"), True).join(probes, "rk").dropDuplicates(["rk"]).select("rk", "text", "probes")
-               .mapInArrow(_window_names(length), "rk long, name long, start int, size long"))
+               .mapInArrow(_window_names(length, words), "rk long, name long, start int, size long"))
     # a class of one repeats where a window's name is met again; larger classes only add to the counts
     shared = windows.groupBy("name").agg(F.sum("size").alias("c")).where("c > 1").select("name")
     part = windows.where("size = 1").join(shared, "name").select("rk", F.col("start").alias("first"), F.col("start").alias("last"))
@@ -168,6 +183,13 @@ def _removed(spans: pa.Array, length: int) -> list[list[tuple[int, int]]]:
     return [merged([(s["first"], s["last"] + length) for s in row or ()]) for row in spans.to_pylist()]
 
 
+def _word_bytes(removed: list[list[tuple[int, int]]], data: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Spans of words as spans of bytes, from the first word's start to the last one's end."""
+    found = Words(data, off)
+    return [[(int(found.start[w + a] - at), int(found.end[w + b - 1] - at)) for a, b in spans]
+            for spans, w, at in zip(removed, found.bounds[:-1], off[:-1], strict=True)]
+
+
 def _kept(raw: bytes, spans) -> bytes:
     out, at = [], 0
     for a, b in spans:
@@ -205,7 +227,7 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, gram: int = GRAM, words: bool = False) -> DataFrame:
     """The rows with repeats cut out of ``text`` (whole characters only) and ``n_chars``, if there, brought up to date.
 
     Null texts stay empty texts. Other columns are kept as they are.
@@ -214,10 +236,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             raw, spans = data.tobytes(), _removed(rows.column(2), length)
+            if words:
+                spans = _word_bytes(spans, data, off)
             cut = [_kept(raw[off[i]: off[i + 1]], whole_characters(raw[off[i]: off[i + 1]], s)).decode("utf-8", "replace") for i, s in enumerate(spans)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(cut, pa.string())], names=["row", "text"])
 
-    found = repeated_spans(docs, length).select("row", "text", "spans")
+    found = repeated_spans(docs, length, spacing, gram, words).select("row", "text", "spans")
     cut = found.mapInArrow(run, found.select("row", "text").schema)
     return cut.select(*[F.col("text") if c == "text" else (F.char_length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)).alias(c)
                         for c in docs.columns])

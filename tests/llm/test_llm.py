@@ -123,6 +123,23 @@ def test_long_repeats_brute_force(docs, empty):
     assert cut.columns == docs.columns and all(r.n_chars == len(r.text) for r in cut.collect())
 
 
+def test_stage_cuts_passages_of_over_50_words(spark, docs):
+    short = " ".join(f"s{i}" for i in range(51))  # under 400 bytes
+    less = " ".join(f"l{i}" for i in range(50))
+    long = _prose(50, 200)
+    texts = [t for t in _texts()] + [f"{_prose(51, 30)} {short} {_prose(52, 9)}", f"{short.replace(' ', chr(10))}  end", f"{_prose(53, 80)} {less}", f"{less} {_prose(54, 80)}",
+                                     f"{short} {long}", f"é {long} é", " ".join(["a"] * 52), " ".join(["a"] * 51), " ".join(["b"] * 51), f"x {_prose(55, 70)}", f"y\t{_prose(55, 70)} z"]
+    rows = [(i, t, "en", "b", len(t or ""), 0, 0, 0.1, "h", "r", "s", 3, "k", 9) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_repeats(spark, spark.createDataFrame(rows, docs.schema), "").collect()}
+    at = [[(m.start(), m.end(), m.group()) for m in re.finditer(WORD, t or "")] for t in texts]
+    seen = Counter(tuple(x[2] for x in w[i: i + 51]) for w in at for i in range(len(w) - 50))
+    for i, (t, w) in enumerate(zip(texts, at, strict=True)):
+        cut = {x for j in range(len(w) - 50) if seen[tuple(x[2] for x in w[j: j + 51])] > 1 for x in range(j, j + 51)}
+        gone = {k for x in cut for k in range(w[x][0], w[x + 1][0] if x + 1 in cut else w[x][1])}
+        assert got[i] == "".join(c for k, c in enumerate(t or "") if k not in gone), i
+    assert "s7" not in got[len(_texts())] and "l7" in got[len(_texts()) + 2]
+
+
 def test_whole_characters():
     raw = "aéb".encode()
     assert suffix_dedup.whole_characters(raw, [(0, 2)]) == [(0, 1)] and suffix_dedup.whole_characters(raw, [(2, 4)]) == [(3, 4)]
