@@ -282,6 +282,19 @@ def test_url_rules_and_propagation(spark):
     assert url_graph.judge_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_registered_threshold_with_links(spark):
+    pages = [(1, "http://bad.net/", ""), (2, "http://bad.net?q", ""),  # fully blocked but for a page without a path
+             (3, "http://farm.io/a", '<a href="//bad.net/x">'), (4, "http://farm.io/b", "<A class=x HREF=//BAD.net>"), (5, "http://fan.io/", '<a href="http://farm.io/">'),
+             (6, "http://far.io/", '<a href="https://fan.io/">'), (7, "http://calm.io/", '<a href="/x"> <a href="//far.org/">'), (8, "http://far.org/fr/", "")]
+    pages += [(10 + i, f"http://bad.net/{i}", None) for i in range(9)]
+    tables = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_graph.judge_pages(tables).collect()}
+    assert [got[i].verdict for i in range(1, 9)] == ["block", "block", "block", "block", "block", "block", "allow", "allow"]
+    assert got[2].rule is None and got[2].distrust == pytest.approx(10 / 11) and got[8].trust == 1.0
+    assert [got[i].distrust for i in (3, 5, 6)] == pytest.approx([10 / 11 * 0.85 ** k for k in (1, 2, 3)])
+    assert {(r.src, r.dst, r.weight) for r in url_graph.links(tables).collect()} == {("farm.io", "bad.net", 2), ("fan.io", "farm.io", 1), ("far.io", "fan.io", 1), ("calm.io", "far.org", 1)}
+
+
 def test_propagation_matches_power_iteration(spark):
     edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 1), ("a", "d", 3)]
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.0, 1.0)], "host string, trust double, distrust double")
