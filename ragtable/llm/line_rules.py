@@ -5,7 +5,8 @@ linear-chain conditional random field over line features; a text is kept if its
 base rules hold and at least ``CONTENT_SHARE`` of its word characters stand in
 content lines. The field is trained here by gradient ascent of the conditional
 likelihood on a bounded sample of labelled documents (``SAMPLE`` per class): lines
-of documents marked good are content, of the others boilerplate.
+of documents marked good are content, of the others boilerplate. All lines of a
+sampled document count; more than ``MAX_LINES`` make several sequences.
 
 Defined results: null, empty or wordless texts have no words, fail the base
 rules and are not kept; without labelled rows of both kinds every line is
@@ -115,21 +116,21 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> dict | None:
-    """The field, or None without labelled rows of both kinds; at most 2 * per_class sequences of MAX_LINES lines reach the driver."""
+    """The field, or None without labelled rows of both kinds; the line features of at most 2 * per_class documents reach the driver."""
 
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             row, x, _, _ = line_table(data, off)
-            parts = [x[row == i][:MAX_LINES] for i in range(rows.num_rows)]
-            keep = [i for i, p in enumerate(parts) if len(p)]
+            edge = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            cuts = [(i, j, min(j + MAX_LINES, edge[i + 1])) for i in range(rows.num_rows) for j in range(edge[i], edge[i + 1], MAX_LINES)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(keep, pa.int64())), pa.array([len(parts[i]) for i in keep], pa.int32()), pa.array([parts[i].ravel().tolist() for i in keep], pa.list_(pa.float64()))],
+                [rows.column(0).take(pa.array([i for i, _, _ in cuts], pa.int64())), pa.array([b - a for _, a, b in cuts], pa.int32()), pa.array([x[a:b].tobytes() for _, a, b in cuts], pa.binary())],
                 names=["y", "lines", "x"])
 
-    rows = labelled_sample(docs, labels, "quality", per_class).select("y", "text").mapInArrow(run, "y int, lines int, x array<double>").collect()
+    rows = labelled_sample(docs, labels, "quality", per_class).select("y", "text").mapInArrow(run, "y int, lines int, x binary").collect()
     if len({r["y"] for r in rows}) < 2:
         return None
-    return fit_field([np.array(r["x"]).reshape(r["lines"], -1) for r in rows], [r["y"] for r in rows])
+    return fit_field([np.frombuffer(r["x"]).reshape(r["lines"], -1) for r in rows], [r["y"] for r in rows])
 
 
 def line_rules(docs: DataFrame, field: dict | None, content_share: float = CONTENT_SHARE) -> DataFrame:

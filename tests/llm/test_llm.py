@@ -266,6 +266,18 @@ def test_line_rules(spark, docs, empty):
     assert line_rules.line_rules(empty, field).count() == 0
 
 
+def test_field_learns_from_all_lines(spark, monkeypatch):
+    texts = ["\n".join(f"line {j} of some words here." for j in range(n)) for n in (3, 200, 201, 950)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(line_rules, "fit_field", lambda x, y: seen.extend(zip(x, y, strict=True)))
+    line_rules.train(docs, labels)
+    assert sorted((len(x), y) for x, y in seen) == sorted([(3, 0), (200, 1), (200, 0), (1, 0), *[(200, 1)] * 4, (150, 1)])
+    every = [line_rules.line_table(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1] for t in texts]
+    assert sorted(map(tuple, np.concatenate([x for x, _ in seen]))) == sorted(map(tuple, np.concatenate(every)))
+
+
 def test_licenses(docs, empty):
     found = [(m.license_id, _texts()[r.doc_id][m.start: m.end]) for r in licenses.scan_licenses(docs).collect() for m in r.matches]
     assert found == [("MIT", "Released under the MIT License")] and licenses.scan_licenses(empty).count() == 0
