@@ -5,7 +5,9 @@
    or dotted out (``m o r o n``), letters drawn out (``mooooron``) - become lattices:
    each character stands for itself or for the letters it looks like, separators
    may vanish, repeats may collapse. Viterbi decoding under the trigram model
-   restores the likeliest word; the raw form stays beside it.
+   restores the likeliest letters, in time linear in the span's length; a second pass
+   chooses which separators end a word, under the corpus' frequent words and, for
+   others, the trigrams. The raw form stays beside them, and so do the letters as one word.
 3. Restored texts are scored by a decision list learned from labelled rows: word
    beginnings and whole words that mark toxic rows and nearly no others; first the
    common ones, then a greedy cover of the toxic rows left. A text's score is the
@@ -13,7 +15,7 @@
 
 The trigram counts are aggregated in Spark over every word; the model kept is
 over the ``LETTERS`` commonest letters, so at most LETTERS ** 3 numbers reach the
-workers. The list is learned from at most ``SAMPLE`` documents per class, one per
+workers, and of words those that are one in ``LEXICON`` or more of the corpus. The list is learned from at most ``SAMPLE`` documents per class, one per
 distinct text. Defined results: null and empty texts get the base score; without
 labelled rows of both kinds every text does; an empty table gives no rows.
 """
@@ -37,6 +39,7 @@ from .quality import labelled_sample
 
 SAMPLE = 2500
 LETTERS = 64
+LEXICON = 200_000
 MIN_ROWS = 2
 MIN_ROWS_SHARE = 0.002
 COMMON_SHARE = 0.03
@@ -44,25 +47,33 @@ PRECISION = 0.97
 CUT = 0.7
 BASE_SCORE = 0.02
 PREFIXES = range(3, 9)
-MAX_SPAN = 40
+MEMO_SPAN = 80
 # letters that a character can stand for, fixed values
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": ""}
 SEPARATORS = " .-_*~"
 _EDGES = ".,;:?\"'()[]{}<>-_"
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]){3,}[^\W_](?![^\W_])")
-_DRAWN = re.compile(r"\S*([^\W\d_])\1\1\S*")
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
 
 
 # -- character model ---------------------------------------------------------
 
-def character_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): character trigrams of all words of the corpus, '^^' before and '$' after a word."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the lower-case words of the corpus."""
 
     def run(batches):
         for rows, data, off in blocks(batches, "text"):
             seen = Counter(data.tobytes().translate(None, b".,;:!?\"'()").lower().split())
             yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace").lower() for w in seen]), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
+    joined = docs.select("text")  # a word never spans rows: each block ends its rows with a break
+    words = joined.select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text")).mapInArrow(run, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def character_counts(words: DataFrame) -> DataFrame:
+    """(gram, n): character trigrams of counted words, '^^' before and '$' after a word."""
+
     def grams(batches):
         total: Counter = Counter()
         for batch in batches:
@@ -76,14 +87,15 @@ def character_counts(docs: DataFrame) -> DataFrame:
                 total.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    joined = docs.select("text")  # a word never spans rows: each block ends its rows with a break
-    words = joined.select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text")).mapInArrow(run, "word string, n long")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def character_model(docs: DataFrame, letters: int = LETTERS) -> dict:
-    """Log probabilities of a character after two others, over the commonest letters: at most letters ** 3 entries."""
-    grams = cut_lineage(character_counts(docs))
+    """Log probabilities of a character after two others, over the commonest letters: at most letters ** 3 entries; and of frequent words."""
+    words = cut_lineage(word_counts(docs))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = {r["word"]: math.log(r["n"] / total) for r in words.where(F.col("n") >= max(2, total / LEXICON)).collect() if r["word"].isalpha()}
+    grams = cut_lineage(character_counts(words))
     top = grams.groupBy(F.substring("gram", 3, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(letters)
     known = {r["c"] for r in top.collect()} | {"^", "$"}
     inside = F.lit(True)
@@ -95,7 +107,8 @@ def character_model(docs: DataFrame, letters: int = LETTERS) -> dict:
         context[r["gram"][:2]] += r["n"]
     size = len(known)
     return {"known": known, "p": {r["gram"]: math.log((r["n"] + 0.1) / (context[r["gram"][:2]] + 0.1 * size)) for r in rows},
-            "rest": {c: math.log(0.1 / (n + 0.1 * size)) for c, n in context.items()}, "none": math.log(1 / max(size, 1))}
+            "rest": {c: math.log(0.1 / (n + 0.1 * size)) for c, n in context.items()}, "none": math.log(1 / max(size, 1)),
+            "words": often, "longest": max(map(len, often), default=0)}
 
 
 def _step(model: dict, two: str, c: str) -> float:
@@ -104,29 +117,90 @@ def _step(model: dict, two: str, c: str) -> float:
 
 
 SWAP, DROP, COLLAPSE, STRANGE = -2.0, -0.5, -1.0, -9.0
+UNKNOWN = -4.0
 
 
-def restore(span: str, model: dict) -> str:
-    """The likeliest word behind ``span`` (lower-case): Viterbi over the lattice of its readings."""
-    states = {"^^": (0.0, "")}  # last two letters -> (score, word so far)
+def _pieces(span: str, model: dict) -> list[str]:
+    """The likeliest letters behind ``span`` (lower-case), and '' where a separator vanished: Viterbi over the lattice of its readings."""
+    states = {"^^": (0.0, None)}  # last two letters -> (score, pieces so far: the last one and what is before)
     previous = ""
     for i, c in enumerate(span):
         options = [(c, 0.0)] if c.isalpha() and c in model["known"] else [(c, STRANGE)]
         options += [(x, SWAP) for x in LOOKALIKES.get(c, "")]
-        drop = DROP if c in SEPARATORS and 0 < i < len(span) - 1 else (STRANGE if not c.isalnum() else None)
-        nxt: dict[str, tuple[float, str]] = {}
-        for two, (score, word) in states.items():
+        parts = c in SEPARATORS and 0 < i < len(span) - 1
+        drop = DROP if parts else (STRANGE if not c.isalnum() else None)
+        nxt: dict[str, tuple[float, tuple | None]] = {}
+        for two, (score, read) in states.items():
             for x, cost in options:
                 got = score + cost + _step(model, two, x)
                 key = two[1] + x
                 if key not in nxt or got > nxt[key][0]:
-                    nxt[key] = (got, word + x)
+                    nxt[key] = (got, (x, read))
             if drop is not None and (two not in nxt or score + drop > nxt[two][0]):
-                nxt[two] = (score + drop, word)
-            if c == previous and word and (two not in nxt or score + COLLAPSE > nxt[two][0]):
-                nxt[two] = (score + COLLAPSE, word)
+                nxt[two] = (score + drop, ("", read) if parts and read else read)
+            if c == previous and read and (two not in nxt or score + COLLAPSE > nxt[two][0]):
+                nxt[two] = (score + COLLAPSE, read)
         states, previous = nxt, c
-    return max(((score + _step(model, two, "$"), word) for two, (score, word) in states.items()), default=(0, ""))[1]
+    _, read = max(((score + _step(model, two, "$"), read) for two, (score, read) in states.items()), key=lambda x: x[0], default=(0, None))
+    out = []
+    while read:
+        out.append(read[0])
+        read = read[1]
+    return out[::-1]
+
+
+def restore(span: str, model: dict) -> str:
+    """The likeliest word behind ``span`` (lower-case)."""
+    return "".join(_pieces(span, model))
+
+
+def split_words(letters: str, cuts: list[int], model: dict) -> list[str]:
+    """``letters`` cut into its likeliest words at some of ``cuts``: frequent words by their share, others of any length by their trigrams."""
+    n, often = len(letters), model["words"]
+    padded = "^^" + letters
+    run = [0.0]  # score of each letter after the two before it
+    for k in range(n):
+        run.append(run[-1] + _step(model, padded[k: k + 2], letters[k]))
+    begin = lambda a, k: sum(_step(model, ("^^" + letters[a: a + 2])[j: j + 2], letters[a + j]) for j in range(k))
+    ends = [*cuts, n]
+    best = {0: (0.0, 0)}  # end of a word -> (score, its start)
+    far, far_at = -math.inf, 0  # the best start of an unknown word of over two letters, without what its end decides
+    waiting, near = [], []  # starts too close for that, and close enough for a frequent word
+    start = 0
+    for end in ends:
+        waiting.append(start)
+        near = [a for a in [*near, start] if end - a <= model["longest"]]
+        options = []
+        for a in [a for a in waiting if end - a > 2]:
+            waiting.remove(a)
+            got = best[a][0] + begin(a, 2) - run[a + 2]
+            if got > far:
+                far, far_at = got, a
+        close = lambda a: _step(model, ("^^" + letters[a:end])[-2:], "$")  # noqa: B023, E731
+        if far > -math.inf:
+            options.append((far + run[end] + close(far_at) + UNKNOWN, far_at))
+        options += [(best[a][0] + begin(a, end - a) + close(a) + UNKNOWN, a) for a in waiting]
+        options += [(best[a][0] + often[letters[a:end]], a) for a in near if letters[a:end] in often]
+        best[end] = max(options)
+        start = end
+    out, end = [], n
+    while end:
+        out.append(letters[best[end][1]: end])
+        end = best[end][1]
+    return out[::-1]
+
+
+def readings(span: str, model: dict) -> str:
+    """The restored words of a span; several also as one word."""
+    pieces, cuts, at = _pieces(span, model), [], 0
+    for x in pieces:
+        at += len(x)
+        if not x and (not cuts or cuts[-1] < at):
+            cuts.append(at)
+    whole = "".join(pieces)
+    cuts = [c for c in cuts if 0 < c < len(whole)]
+    words = split_words(whole, cuts, model) if cuts else [whole]
+    return " ".join([*words, whole] if len(words) > 1 else words)
 
 
 def suspicious(text: str) -> set[str]:
@@ -135,11 +209,12 @@ def suspicious(text: str) -> set[str]:
     for w in set(text.split()):
         if not w.isalpha():
             core = w.strip(_EDGES)
-            if 3 <= len(core) <= MAX_SPAN and not core.isalpha() and any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core):
+            if len(core) >= 3 and not core.isalpha() and any(c in LOOKALIKES for c in core) and any(c.isalpha() for c in core):
                 out.add(core.lower())
     out.update(m.group().lower() for m in _SPACED.finditer(text))
-    out.update(m.group().strip(_EDGES).lower() for m in _DRAWN.finditer(text) if len(m.group()) <= MAX_SPAN)
-    return {s for s in out if len(s) <= 2 * MAX_SPAN}
+    if _DRAWN.search(text):
+        out.update(w.strip(_EDGES).lower() for w in set(text.split()) if _DRAWN.search(w))
+    return out
 
 
 def restored_text(raw: bytes, model: dict, memo: dict[str, str]) -> str:
@@ -148,10 +223,13 @@ def restored_text(raw: bytes, model: dict, memo: dict[str, str]) -> str:
     words = b" ".join(normalise(raw)).decode("utf-8", "replace").lower()
     more = []
     for span in sorted(suspicious(text)):
+        if len(span) > MEMO_SPAN:
+            more.append(readings(span, model))
+            continue
         if span not in memo:
             if len(memo) > 20_000:
                 memo.clear()
-            memo[span] = restore(span, model)
+            memo[span] = readings(span, model)
         more.append(memo[span])
     return f" {words} {' '.join(more)} "
 

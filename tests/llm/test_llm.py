@@ -243,6 +243,37 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.learn_marks(docs, labels.limit(0), model) == {}
 
 
+def test_toxicity_long_and_spaced_spans(spark):
+    docs, labels = _labelled(spark)
+    model, marks = toxicity.fit(docs, labels)
+    assert toxicity.readings("y o u m o r o n", model) == "you moron youmoron" and toxicity.readings("m o r o n", model) == "moron"
+    spaced = " ".join("younow" * 30)  # over 80 characters
+    texts = ["they say y o u m o r o n", "m" + "o" * 5000 + "ron", "M.0.r.o." * 1 + "n" * 60, f"{spaced} m o r o n", f"{spaced} n o w", "now " * 50, "m" + "0" * 50 + "r0n!"]
+    got = {r.doc_id: r.score for r in toxicity.with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, marks).collect()}
+    assert [got[i] >= 0.7 for i in range(7)] == [True, True, True, True, False, False, True]
+
+
+def test_split_words_brute_force():
+    rng = np.random.default_rng(5)
+    letters = "abc"
+    for _ in range(60):
+        grams = {x + y + z: -float(rng.uniform(0.2, 4)) for x in "^abc" for y in "^abc" for z in "abc$"}
+        often = {"".join(rng.choice(list(letters), int(rng.integers(1, 4)))): -float(rng.uniform(1, 6)) for _ in range(5)}
+        model = {"p": grams, "rest": {}, "none": -9.0, "words": often, "longest": 3}
+        text = "".join(rng.choice(list(letters), 9))
+        cuts = sorted(set(rng.integers(1, 9, 6).tolist()))
+
+        def score(w):
+            chain = f"^^{w}$"
+            return max(often.get(w, -1e9), toxicity.UNKNOWN + sum(grams[chain[i: i + 3]] for i in range(len(chain) - 2)))  # noqa: B023
+
+        def words(chosen):
+            return [text[a:b] for a, b in itertools.pairwise([0, *chosen, 9])]  # noqa: B023
+
+        every = [words(c) for k in range(len(cuts) + 1) for c in itertools.combinations(cuts, k)]
+        assert sum(map(score, toxicity.split_words(text, cuts, model))) == pytest.approx(max(sum(map(score, w)) for w in every))
+
+
 def test_viterbi_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(40):
