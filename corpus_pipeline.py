@@ -62,7 +62,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-# Learned scores and near-duplicate components can't be said in SQL; tests/llm holds every stage against brute force.
+# Learned scores and near-duplicate components can't be said in SQL; tests/llm holds the rows of near_dedup and suffix_dedup against brute force.
 ORACLE_SQL = None
 
 

@@ -69,6 +69,19 @@ def test_near_duplicates_brute_force(docs, empty, k):
     assert len(got) == len(rows) and near_dedup.near_duplicate_components(empty).count() == 0
 
 
+def test_stage_keeps_one_of_each_component(spark, docs):
+    rows = docs.where("doc_id is not null")
+    known = sorted({(r.doc_id, r.text) for r in rows.collect()}, key=lambda r: r[0])
+    sets = [_sets(t, 5) for _, t in known]
+    comp = list(range(len(known)))
+    for a, b in itertools.combinations(range(len(known)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    want = [known[i] for i in sorted(set(comp))]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.remove_near_duplicates(spark, rows, "").collect()), key=lambda r: r[0])
+    assert got == want and len(got) < len(known)
+
+
 def test_blocks_find_links_between_components(spark):
     """A group of copies with one to eight edits: buckets with several components go through the blocks."""
     base = _prose(11, 150).split()
