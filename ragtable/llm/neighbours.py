@@ -50,7 +50,7 @@ DELTA = 0.1
 PART = 4096
 PIVOTS = 64
 BEAM = 256
-EXPAND = 64
+EXPAND = 128
 HOPS = 40
 RERANK = 64
 SEED = 42
