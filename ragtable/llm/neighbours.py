@@ -17,10 +17,11 @@ nodes among its ``BEAM`` nearest, along edges and some back edges, for all
 queries in one join, until no query has one left. The ``RERANK`` nearest are
 ranked by exact cosine of the original vectors.
 
-Compared are unit vectors of 16-bit floats. Nodes (queries) are dealt to parts
-of about ``PART`` by hash, and a vector goes to a part once, however many edges
-there ask for it; a task holds the vectors of one part, at most
-(``NEIGHBOURS`` + ``REVERSE``) * ``PART``. The driver sees counts only.
+Compared are unit vectors of 16-bit floats. Nodes are dealt to parts of about
+``PART`` (queries: ``QUERY_PART``) by hash, and a vector goes to a part once,
+however many edges there ask for it; a task holds the vectors of one part at a
+time, at most (``NEIGHBOURS`` + ``REVERSE``) * ``PART``. A pair of query and node
+is scored once. The driver sees counts and the ids of the pivots only.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do null vec_ids, nor vectors of another length than
@@ -47,7 +48,9 @@ TABLES = 4
 BLOCK = 256
 ROUNDS = 12
 DELTA = 0.1
-PART = 4096
+#: nodes and queries whose vectors a task holds at a time, with those that their edges name
+PART = 256
+QUERY_PART = 4
 PIVOTS = 64
 BEAM = 256
 EXPAND = 128
@@ -218,7 +221,7 @@ def _dealt(edges: DataFrame, others: DataFrame, own: DataFrame | None, parts: in
     if own is not None:
         rows = rows.unionByName(own.select(_part("node", parts).alias("p"), F.lit(1).alias("kind"), F.col("node").alias("u"), none.cast("long").alias("v"),
                                            none.cast("boolean").alias("new"), F.lit(0).cast("float").alias("low"), "code"))
-    return rows.repartition(parts, "p").sortWithinPartitions("p", "kind", "u").mapInArrow(_by_part(kernel), _EDGE)
+    return rows.repartition("p").sortWithinPartitions("p", "kind", "u").mapInArrow(_by_part(kernel), _EDGE)
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
@@ -256,7 +259,7 @@ class Index:
     def _descend(self) -> DataFrame:
         order = ("t", "sketch", "along", "node")
         tables = self.codes.mapInArrow(_sketches, "t int, sketch long, along float, node long, code binary")
-        start = tables.repartitionByRange(-(-TABLES * self.size // PART) or 1, *order).sortWithinPartitions(*order).mapInArrow(_blocks, _EDGE)
+        start = tables.repartitionByRange(-(-TABLES * self.size // (16 * BLOCK)) or 1, *order).sortWithinPartitions(*order).mapInArrow(_blocks, _EDGE)
         table = SharedTable(_nearest(start, NEIGHBOURS), "graph")
         for self.rounds in range(1, ROUNDS + 1):
             graph = table.read()
@@ -285,23 +288,29 @@ class Index:
         asked = cut_lineage(usable_vectors(queries, id_column, vector).withColumnRenamed("vec_id", "query_id"))
         own = SharedTable(asked.select(F.col("query_id").alias("node"), "embedding").mapInArrow(_encoded, "node long, code binary"), "queries")
         codes = self.codes.withColumn("low", F.lit(0).cast("float"))
-        parts = -(-asked.count() // PART) or 1
+        parts = -(-asked.count() // QUERY_PART) or 1
         hop_list = self._hop_list()
-        pivots = self.codes.select("node").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(PIVOTS)  # PIVOTS ids
+        pivots = [r["node"] for r in self.codes.select("node").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(PIVOTS).collect()]
         at_home = asked.join(self.nodes.withColumnRenamed("embedding", "same"), (F.xxhash64("embedding") == F.xxhash64("same")) & (F.col("embedding") == F.col("same")))
-        pairs = (asked.select(F.col("query_id").alias("u"), F.explode(F.lit([r["node"] for r in pivots.collect()] or None).cast("array<long>")).alias("v"))
-                 .union(at_home.select("query_id", "node")).withColumn("new", F.lit(True)))
-        best = cut_lineage(_nearest(_dealt(pairs, codes, own.read(), parts, _score_pairs), BEAM))
-        for _ in range(HOPS):  # new: not expanded yet
-            step = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-            front = cut_lineage(best.where("new").withColumn("r", F.row_number().over(step)).where(F.col("r") <= EXPAND).select("u", "v"))
+        pairs = asked.select(F.col("query_id").alias("u"), F.explode(F.lit(pivots or None).cast("array<long>")).alias("v")).union(at_home.select("query_id", "node")).distinct()
+        seen = [SharedTable(pairs, "seen")]
+        best = None
+        for _ in range(HOPS):
+            scored = _dealt(seen[-1].read().withColumn("new", F.lit(True)), codes, own.read(), parts, _score_pairs)
+            best = _nearest(scored if best is None else best.union(scored), BEAM)  # new: not expanded yet
+            step = Window.partitionBy("u").orderBy(F.desc("new"), F.desc("s"), "v")
+            best = cut_lineage(best.withColumn("front", F.col("new") & (F.row_number().over(step) <= EXPAND)))
+            front = best.where("front").select("u", "v")
+            best = best.select("u", "v", "s", (F.col("new") & ~F.col("front")).alias("new"))
+            known = seen[0].read()
+            for more in seen[1:]:
+                known = known.union(more.read())
+            ahead = front.join(hop_list, F.col("v") == F.col("node")).select("u", F.explode("next").alias("v")).distinct().join(known, ["u", "v"], "left_anti")
+            seen.append(SharedTable(ahead, "seen"))
             if front.isEmpty():
                 break
-            ahead = (front.join(hop_list, F.col("v") == F.col("node")).select("u", F.explode("next").alias("v"))
-                     .join(best.select("u", "v"), ["u", "v"], "left_anti").withColumn("new", F.lit(True)))
-            scored = _dealt(ahead, codes, own.read(), parts, _score_pairs)
-            known = best.join(front.withColumn("done", F.lit(True)), ["u", "v"], "left").select("u", "v", "s", (F.col("new") & F.col("done").isNull()).alias("new"))
-            best = cut_lineage(_nearest(known.union(scored), BEAM))
+        for table in seen:
+            table.drop()
         own.drop()
         top = Window.partitionBy("u").orderBy(F.desc("s"), "v")
         some = best.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(RERANK, 8 * k)).select(F.col("u").alias("query_id"), F.col("v").alias("node"))
