@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import collapse_blank_lines
+from .tokens import let
 
 MARKUP = (
     r"(?is)<!--.*?-->"
@@ -65,11 +66,37 @@ def entity_rules() -> list[tuple[str, str]]:
     return rules
 
 
+def _entity_pattern() -> str:
+    """One reference: numeric in either base, or a name of the list; the legacy names also without a semicolon."""
+    names = "|".join(f"{name};?" if legacy else f"{name};" for name, _, legacy in [("amp", "&", True), *ENTITIES] if not name.startswith("#"))
+    return f"&(?:#[xX][0-9a-fA-F]{{1,6}};?|#[0-9]{{1,7}};?|{names})"
+
+
+def _entity_map() -> str:
+    """SQL map of names and their characters."""
+    return "map(" + ", ".join(f"'{name}', '{ch.replace(chr(39), chr(92) + chr(39))}'" for name, ch, _ in [("amp", "&", True), *ENTITIES] if not name.startswith("#")) + ")"
+
+
 def unescape_entities(c: Column) -> Column:
-    out = c
-    for pat, rep in entity_rules():
-        out = F.regexp_replace(out, pat, rep.replace("\\", "\\\\").replace("$", "\\$"))
-    return out
+    """Character references decoded in one pass, so that '&amp;lt;' gives '&lt;'.
+
+    Numeric references stand for any code point (0, surrogates and what lies
+    beyond Unicode: U+FFFD); a name that isn't in ENTITIES stays as it is.
+    """
+    pattern, known = _entity_pattern(), F.expr(_entity_map())
+
+    def character(mark):
+        body = F.regexp_replace(mark, "^&|;$", "")
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 6), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 7)).cast("int")
+        wrong = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(F.when(wrong, F.lit(0xFFFD)).otherwise(code)), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(code.isNotNull(), point), F.element_at(known, body), mark)
+
+    def decoded(text):
+        marks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), character), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(text, pattern), marks, lambda a, b: F.concat(a, b)), "")
+
+    return F.when(c.contains("&"), let(c, decoded)).otherwise(c)
 
 
 def unescape_sql(expr: str) -> str:

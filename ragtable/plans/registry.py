@@ -38,6 +38,7 @@ QUERY_MODULES = (
     "queries_context",
     "queries_qa",
     "queries_leaderboard",
+    "queries_pages",
 )
 
 

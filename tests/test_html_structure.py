@@ -53,3 +53,15 @@ def test_header_split(spark):
         (1, 3, "z", "Three", None),
         (3, 0, "no header", None, None),
     ]
+
+
+def test_character_references(spark):
+    from html import unescape
+
+    from ragtable.functions.html import unescape_entities
+
+    texts = ["a &lt;b&gt; &amp;lt; &copy &nbsp;x &#8364; &#x20AC; &#X1F600;&#39;&#039;", "no reference & none &unknown; &;", "", None, "&#65", "&euro;", "&quot;&apos;&hellip;", "$1 \\ &amp;amp;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(unescape_entities(F.col("t")).alias("u")).collect()
+    assert [r.u for r in rows] == [None if t is None else unescape(t) for t in texts]
+    odd = spark.createDataFrame([("&#0; &#xD800; &#1114112;",)], "t string").select(unescape_entities(F.col("t")).alias("u")).first().u
+    assert odd == "� � �"
