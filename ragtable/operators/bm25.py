@@ -1,13 +1,13 @@
 """Okapi BM25 as an inverted-index join (R-01..R-04, R-07).
 
-Index build (one pass over the chunks):
-  tokens -> postings(term, chunk_id, tf, dl) by a map-side-combined groupBy,
-  df(term) by a second groupBy, a one-row corpus_stats (N, avgdl, avg_idf),
+Index build (a pass over the chunks each for the lengths and for df(term), both
+kept in the checkpoint folder): a one-row corpus_stats (N, avgdl, avg_idf),
+  postings(term, chunk_id, tf, dl) by a map-side-combined groupBy,
   and the per-posting weight ``w = idf * tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))``.
 
-Query time: query terms (with repeat counts) equi-join the weighted postings
-on ``term`` and are summed per (query, chunk). Only chunks sharing a term are
-touched; the question table is broadcast when a bounded count proves it small,
+Query time: the chunks' words meet the query terms before they are counted, so
+only postings of those are built; they equi-join the terms (with repeat counts)
+on ``term`` and are summed per (query, chunk). The question table is broadcast when a bounded count proves it small,
 otherwise the join is salted on chunk id so very common terms do not pile into
 one task. Top-k uses ``row_number() <= k`` which Catalyst plans as a partial
 WindowGroupLimit before the shuffle, so a query matching millions of chunks
@@ -28,20 +28,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import whitespace_tokens
-from ..plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT, broadcast_if_small, join_small_side, salted_join
+from ..plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT, join_small_side, salted_join
+from ..session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # term, chunk_id, tf, dl, w
+    chunks: DataFrame  # chunk_id, text
     stats: DataFrame  # one row: n_chunks, avgdl, avg_idf, eps_idf
     terms: DataFrame  # term, df, idf (floored)
-    chunk_ids: DataFrame  # chunk_id
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
+    salt: int = DEFAULT_SALT
+
+    @property
+    def chunk_ids(self) -> DataFrame:
+        return self.chunks.select("chunk_id")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, tf, dl, w) of all terms."""
+        # postings x idf on term: the idf side is repeated per salt bucket so a term in
+        # a third of all chunks is still spread over `salt` tasks.
+        return self._weighted(salted_join(build_postings(self.chunks), self.terms.select("term", "idf"), ["term"], salt=self.salt, salt_source=F.xxhash64("chunk_id")))
+
+    def postings_of(self, asked: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+        """The postings of the terms in ``asked`` (term, other columns), with those columns; words of other terms are dropped before any shuffle."""
+        known = asked.join(self.terms.select("term", "idf"), "term")
+        words = tokenize_chunks(self.chunks).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        kept = join_small_side(words, known.select("term").distinct(), ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id"))
+        counted = kept.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        return self._weighted(join_small_side(counted, known, ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id")))
+
+    def _weighted(self, postings: DataFrame) -> DataFrame:
+        w = (F.col("idf") * (F.col("tf") * F.lit(self.k1 + 1.0))
+             / (F.col("tf") + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.col("avgdl"))))
+        return postings.crossJoin(F.broadcast(self.stats.select("avgdl"))).withColumn("w", w).drop("idf", "avgdl")
 
 
 def fill_null_content(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -72,16 +97,18 @@ def chunk_lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "
     return tokenize_chunks(chunks, id_col, text_col).select("chunk_id", F.size("tokens").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, postings: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
+def corpus_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                  epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
     """R-02: (terms(term, df, idf), stats(n_chunks, avgdl, avg_idf, eps_idf)).
 
     Both statistics are single aggregations (partial aggregation on the map
-    side); the one-row stats frame is the only thing cross-joined.
+    side), kept in the shared checkpoint folder, so that the chunks are read once
+    for each whatever is asked of the index later; the one-row stats frame is the
+    only thing cross-joined.
     """
-    lens = chunk_lengths(chunks, id_col, text_col)
-    base = lens.agg(F.count(F.lit(1)).alias("n_chunks"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
-    df_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    toks = tokenize_chunks(chunks, id_col, text_col)
+    base = cut_lineage(toks.agg(F.count(F.lit(1)).alias("n_chunks"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl")))
+    df_t = cut_lineage(toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     raw = df_t.crossJoin(F.broadcast(base)).select(
         "term", "df",
         (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"),
@@ -97,19 +124,8 @@ def corpus_stats(chunks: DataFrame, postings: DataFrame, id_col: str = "chunk_id
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                 k1: float = K1, b: float = B, epsilon: float = EPSILON, salt: int = DEFAULT_SALT) -> BM25Index:
     chunks = fill_null_content(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")))
-    postings = build_postings(chunks)
-    terms, stats = corpus_stats(chunks, postings, epsilon=epsilon)
-    avgdl = stats.select("avgdl")
-    # postings x idf on term: the idf side is repeated per salt bucket so a term in
-    # a third of all chunks is still spread over `salt` tasks.
-    weighted = salted_join(postings, terms.select("term", "idf"), ["term"], salt=salt,
-                           salt_source=F.xxhash64("chunk_id"))
-    weighted = weighted.crossJoin(F.broadcast(avgdl)).select(
-        "term", "chunk_id", "tf", "dl",
-        (F.col("idf") * (F.col("tf") * F.lit(k1 + 1.0))
-         / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))).alias("w"),
-    )
-    return BM25Index(weighted, stats, terms, chunks.select("chunk_id"), k1, b, epsilon)
+    terms, stats = corpus_stats(chunks, epsilon=epsilon)
+    return BM25Index(chunks, stats, terms, k1, b, epsilon, salt)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
@@ -122,11 +138,9 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
 
 
 def bm25_scores(queries: DataFrame, index: BM25Index, id_col: str = "query_id", text_col: str = "question",
-                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, salt: int = DEFAULT_SALT) -> DataFrame:
+                max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """R-03: (query_id, chunk_id, score) for every chunk sharing at least one term."""
-    qt = query_terms(queries, id_col, text_col)
-    joined = join_small_side(index.postings, qt, ["term"], max_rows=max_broadcast_rows, salt=salt,
-                             salt_source=F.xxhash64("chunk_id"))
+    joined = index.postings_of(cut_lineage(query_terms(queries, id_col, text_col)), max_broadcast_rows)
     return joined.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.col("qtf") * F.col("w")), 6).alias("score")
     )
@@ -149,7 +163,7 @@ def bm25_search(queries: DataFrame, index: BM25Index, k: int, id_col: str = "que
     bounded k-row set), taken only where the query has room left.
     """
     scores = bm25_scores(queries, index, id_col, text_col, max_broadcast_rows)
-    scored = top_k(scores, k).drop("rank")
+    scored = cut_lineage(top_k(scores, k).drop("rank"))  # k rows a query, read several times below
     if not fill:
         return top_k(scored, k)
     # Only queries short of k matches are padded, so all their matches are in ``scored``; of the k + k smallest

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import leaderboard as L
 from ..operators import metrics as M
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .queries_metrics import metric_ctes_for
 from .queries_retrieval import K, QRELS_CTE, bm25_hits, bm25_hits_ctes, qrels
 from .queries_vectors import KNN_L2_CTES, knn_hits
@@ -24,20 +24,17 @@ CONFIGS = [("bm25_k5", "hits"), ("knn_k5", "knn")]
 
 
 def results_long(spark, sf_dir):
-    qr = qrels(spark, sf_dir)
+    """(config, query_id, metric, value): each config retrieves once and is measured once, and its measures are stacked."""
+    qr = cut_lineage(qrels(spark, sf_dir))
     qs = read_table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id")
+    names = dict(zip(METRICS, ("recall", "precision", "f1", "ap", "rr", "dcg", "ndcg"), strict=True))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in names.items()])
     parts = []
     for name, hits in (("bm25_k5", bm25_hits(spark, sf_dir)), ("knn_k5", knn_hits(spark, sf_dir))):
-        at = M.metrics_at_k(hits, qr, qs, K).filter(F.col("k") == K)
-        rk = M.ranking_metrics(hits, qr, qs, K)
-        cols = {f"RET_RC_{K}": "recall", f"RET_PR_{K}": "precision", f"RET_F1_{K}": "f1", f"RET_AP_{K}": "ap"}
-        for metric, col in cols.items():
-            parts.append(at.select(F.lit(name).alias("config"), "query_id", F.lit(metric).alias("metric"),
-                                   F.col(col).alias("value")))
-        for metric, col in (("RET_RR", "rr"), ("RET_DCG", "dcg"), ("RET_NDCG", "ndcg")):
-            parts.append(rk.select(F.lit(name).alias("config"), "query_id", F.lit(metric).alias("metric"),
-                                   F.col(col).alias("value")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        hits = cut_lineage(hits)
+        both = M.metrics_at_k(hits, qr, qs, K).where(F.col("k") == K).join(M.ranking_metrics(hits, qr, qs, K), "query_id")
+        parts.append(both.select(F.lit(name).alias("config"), "query_id", F.inline(pairs)))
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def _res_sql() -> str:
@@ -68,6 +65,19 @@ def q_wide(spark, sf_dir):
     return L.flatten_metrics(results_long(spark, sf_dir), METRICS)
 
 
+#: the delta of config means: a stand-in for answers with and without context, as both configs have retrieval measures only
+DELTA = "RET_RC_MINUS_PR"
+
+
+@register("leaderboard_delta", MEANS_SQL + f"""
+SELECT config, metric, mean FROM means
+UNION ALL
+SELECT a.config, '{DELTA}', round(a.mean - b.mean, 6) FROM means a JOIN means b USING (config) WHERE a.metric = 'RET_RC_{K}' AND b.metric = 'RET_PR_{K}'""")
+def q_delta(spark, sf_dir):
+    """E-17: means, and a metric that is the difference of two others."""
+    return L.add_delta(L.config_means(results_long(spark, sf_dir)), f"RET_RC_{K}", f"RET_PR_{K}", DELTA)
+
+
 @register("leaderboard_means", MEANS_SQL + "\nSELECT config, metric, mean FROM means")
 def q_means(spark, sf_dir):
     return L.config_means(results_long(spark, sf_dir))

@@ -108,8 +108,13 @@ def q_bm25_corpus_stats(spark, sf_dir):
     return idx.stats.select("n_chunks", *[F.round(c, 6).alias(c) for c in ("avgdl", "avg_idf", "eps_idf")])
 
 
-@register("bm25_term_idf", "WITH " + BM25_INDEX_CTES + """
-SELECT term, df, round(idf, 6) AS idf FROM idf""")
+@register("bm25_term_idf", """
+WITH dft AS (
+  SELECT term, count(*) AS df
+  FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))) AS term FROM documents) GROUP BY term),
+raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS idf_raw FROM dft),
+eps AS (SELECT 0.25 * avg(idf_raw) AS eps_idf FROM raw)
+SELECT term, df, round(CASE WHEN idf_raw < 0 THEN eps_idf ELSE idf_raw END, 6) AS idf FROM raw, eps""")
 def q_bm25_term_idf(spark, sf_dir):
     idx = corpus_index(spark, sf_dir)
     return idx.terms.select("term", "df", F.round("idf", 6).alias("idf"))

@@ -39,6 +39,7 @@ QUERY_MODULES = (
     "queries_qa",
     "queries_leaderboard",
     "queries_pages",
+    "queries_keyphrases",
 )
 
 
