@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as X
+from ..operators.evaluate import evaluate
 from ..operators.prompts import TEMPLATES, first_text, render_prompt
 from ..session import read_table
-from .queries_retrieval import bm25_hits, bm25_hits_ctes
+from .queries_retrieval import K, bm25_hits, bm25_hits_ctes, qrels
 from .queries_vectors import KNN_L2_CTES, knn_hits
 from .registry import register
 
@@ -178,3 +179,10 @@ def q_answer_batch(spark, sf_dir):
     """A-10 composite (rows-only): BM25 top-5 -> dedupe -> cited context -> prompt -> passthrough -> cite."""
     out = X.answer_batch(_questions(spark, sf_dir), bm25_hits(spark, sf_dir), _texts(spark, sf_dir), TEMPLATE)
     return out.select("query_id", "question", "answer", "no_rag_answer")
+
+
+@register("evaluate")
+def q_evaluate(spark, sf_dir):
+    """E-25 composite (rows-only; its parts have SQL): every benchmark question answered with and without context, and all its metrics."""
+    qs = _questions(spark, sf_dir).withColumn("reference", F.col("question"))
+    return evaluate(qs, bm25_hits(spark, sf_dir), qrels(spark, sf_dir), _texts(spark, sf_dir), K, TEMPLATE)

@@ -88,11 +88,24 @@ def q_qa_pairs(spark, sf_dir):
     return Q.flatten_pairs(d, "pair_id", "type", "pairs")
 
 
-@register("oracle_dataset")
+def _digest_model():
+    """A stand-in for a language model: answers in the asked format, with a question and an answer that follow from the prompt."""
+    from hashlib import md5
+
+    def answer(prompts: list[list[dict]]) -> list[str]:
+        texts = [p[-1]["content"] for p in prompts]
+        return [f"{{QUESTION 1}}: What is {md5(t.encode()).hexdigest()}? {{ANSWER 1}}: {len(t)} characters" for t in texts]
+
+    return answer
+
+
+@register("oracle_dataset", f"""
+SELECT doc_id AS source, type, 'What is ' || md5(prompt) || '?' AS question, length(prompt) || ' characters' AS answer
+FROM (SELECT d.doc_id, t.type, {_PROMPT_SQL} AS prompt FROM documents d CROSS JOIN {_types_sql()})""")
 def q_oracle_dataset(spark, sf_dir):
-    """Q-07 composite (rows-only) with the passthrough model over every document and type."""
+    """Q-07 over every document and type, with a model that answers in the format."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return Q.generate_oracle_dataset(d, "doc_id", "text", strategy="all")
+    return Q.generate_oracle_dataset(d, "doc_id", "text", strategy="all", model=_digest_model)
 
 
 def _bleu_tok_sql(col: str) -> str:

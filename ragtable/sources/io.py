@@ -32,7 +32,7 @@ def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA
 
 
 def write_documents(df: DataFrame, path: str, drop_keys: Sequence[str] = ("html",), fmt: str = "parquet") -> None:
-    """S-02/S-08: drop the configured columns (column pruning by hand in the source), then write."""
+    """S-02: drop the configured columns (column pruning by hand in the source), then write."""
     df.drop(*drop_keys).write.mode("overwrite").format(fmt).save(path)
 
 

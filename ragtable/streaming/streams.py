@@ -1,8 +1,10 @@
 """Structured Streaming forms of the incremental steps (T-01..T-03).
 
-T-01 ingest: new page files -> HTML to text -> chunks -> parquet sink, with
-     ids hashed from (document, chunk index) because a running corpus-wide
-     id needs the whole corpus.
+T-01 ingest: new JSON documents (or page files) -> footnotes, HTML to text, chunks,
+     enrichment, typed metadata -> parquet sink, with ids hashed from (document,
+     chunk index) because a running corpus-wide id needs the whole corpus. The
+     sink commits a batch's files in one step, so a batch that is tried again
+     after a failure adds its rows once.
 T-02 conversation log: messages appended as JSON lines; redelivered messages
      dropped by (conv_id, turn) within the watermark when an event time is given.
 T-03 history window: ``applyInPandasWithState`` keeps the last 2k messages per
@@ -23,7 +25,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.html import html_to_text
 from ..operators.chunking import character_windows
+from ..plans.preprocess import document_steps, run_steps
 from ..session import ensure_checkpoint_dir
+from ..sources.io import DOCUMENT_SCHEMA
 
 
 def _ckpt(spark: SparkSession, kind: str, target: str) -> str:
@@ -45,6 +49,21 @@ def stream_ingest(spark: SparkSession, source_dir: str, schema: str, out_dir: st
     return q
 
 
+def stream_documents(spark: SparkSession, source_dir: str, out_dir: str, files_per_batch: int = 1000, **steps):
+    """T-01: ``*.json`` documents arriving in a folder, through the steps of ``document_steps(**steps)``; runs all available input, then stops.
+
+    Keys come from the file names. A later call with the same ``out_dir`` goes on
+    with the files that have come since.
+    """
+    docs = (spark.readStream.schema(DOCUMENT_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_batch)
+            .json(source_dir).select("*", F.col("_metadata.file_name").alias("doc_key")))
+    docs = docs.withColumn("CELEX_ID", F.regexp_replace("doc_key", r"\.[^.]*$", "")).withColumn("ID", F.col("CELEX_ID"))
+    q = (run_steps(docs, document_steps(**steps)).writeStream.format("parquet").option("path", out_dir)
+         .option("checkpointLocation", _ckpt(spark, "documents", out_dir)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
 def stream_conversation_log(messages: DataFrame, out_dir: str, event_time: str | None = None,
                             watermark: str = "10 minutes"):
     """T-02: append {"role","content"} JSON lines; de-duplicate redeliveries of (conv_id, turn)."""
