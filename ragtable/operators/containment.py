@@ -3,74 +3,78 @@
 Used to derive relevance judgements (qrels) from the given tables: a question
 is relevant to every document whose text contains it verbatim.
 
-A nested-loop ``instr`` join costs documents x passages x length. Instead
-each task builds one Aho-Corasick automaton over the passage set and scans
-its documents once (linear in text length, whatever the number of passages).
-The passage set is shipped to executors only after a bounded count proves it
-small; a larger set is cut into batches of that size and scanned batch by
-batch, which is exact and keeps every task's memory bounded.
+A passage that stands in a text brings its inner words along whole: only its
+first and last may be cut out of longer words. So a passage's runs of up to
+``RUN`` inner words are keys that every text containing it has. The runs of the
+texts meet the passages' keys before anything is shuffled and are counted; the
+rarest key of each passage names the texts that may contain it, and those alone
+are compared, letter by letter. Passages of one or two words have no inner
+word; they are compared with each text in blocks of ``BLOCK`` passages.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATTERNS_PER_PASS = 200_000
-
-
-def _scan(patterns: list[tuple[int, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for pid, text in patterns:
-            if text:
-                prev = auto.get(text, None)
-                auto.add_word(text, (prev or ()) + (pid,))
-        if len(auto) == 0:
-            return
-        auto.make_automaton()
-        for pdf in batches:
-            out_doc, out_pat = [], []
-            for did, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                if not text:
-                    continue
-                seen = set()
-                for _, pids in auto.iter(text):
-                    for p in pids:
-                        if p not in seen:
-                            seen.add(p)
-                            out_doc.append(did)
-                            out_pat.append(p)
-            yield pd.DataFrame({"doc_id": pd.Series(out_doc, dtype="int64"),
-                                "pattern_id": pd.Series(out_pat, dtype="int64")})
-
-    return run
+from ..functions.tokens import let, ngrams
+from ..plans.sizing import DEFAULT_BROADCAST_ROWS, join_small_side
+from ..session import cut_lineage
+
+RUN = 3
+BLOCK = 256
+
+
+def _pieces(text: Column) -> Column:
+    return F.split(text, r"\s+")
+
+
+def _inner_runs(text: Column) -> Column:
+    """Runs of RUN inner words (or all, if fewer); none for under three words."""
+
+    def runs(words):
+        inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        return let(inner, lambda w: F.when(F.size(w) >= RUN, ngrams(w, RUN)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+
+    return let(_pieces(text), runs)
+
+
+def _all_runs(text: Column) -> Column:
+    return let(_pieces(text), lambda w: F.array_distinct(F.concat(*[ngrams(w, n) for n in range(1, RUN + 1)])))
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                   pattern_id: str = "item_id", pattern_text: str = "text",
-                  max_patterns: int = MAX_PATTERNS_PER_PASS) -> DataFrame:
-    """(doc_id, pattern_id) for every document whose text contains the pattern text."""
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-    p = patterns.select(F.col(pattern_id).cast("long").alias("pid"), F.col(pattern_text).alias("ptext"))
-    n_batches = 1
-    if p.limit(max_patterns + 1).count() > max_patterns:
-        n_batches = -(-p.count() // max_patterns)
-        p = p.withColumn("_b", F.pmod(F.xxhash64("pid"), F.lit(n_batches)))
-    parts = []
-    for b in range(n_batches):
-        pb = p if n_batches == 1 else p.filter(F.col("_b") == b)
-        rows = [(int(r[0]), r[1]) for r in pb.select("pid", "ptext").collect()]
-        parts.append(d.mapInPandas(_scan(rows), "doc_id long, pattern_id long"))
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, pattern_id) for every document whose text contains the pattern text; ids keep their types.
+
+    Null or empty patterns are in no document, null texts contain nothing, and
+    rows that repeat are found as often as they stand there.
+    """
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    p = patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern_text).alias("pattern")).where(F.col("pattern") != "")
+    keys = p.select("pattern_id", "pattern", F.explode(F.array_distinct(_inner_runs(F.col("pattern")))).alias("key"))
+    held = d.select("doc_id", F.explode(_all_runs(F.col("text"))).alias("key"))
+    asked = keys.select("key").distinct()
+    counted = cut_lineage(join_small_side(held.select("key"), asked, ["key"], max_rows=max_broadcast_rows, salt_source=F.rand(11)).groupBy("key").agg(F.count("*").alias("n")))
+    # a passage with a key that no text has is in none; min_by keeps one key for each
+    rated = keys.join(counted, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    chosen = cut_lineage(rated.groupBy("pattern_id", "pattern").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.min("n").alias("n")).where("n > 0").drop("n"))
+    # pairs carry the passage from here on, so no join on texts follows but the one with the documents' own rows
+    named = join_small_side(held, chosen.select("pattern_id", "pattern", "key"), ["key"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "pattern_id", "pattern")
+    pairs = cut_lineage(named.distinct().join(p.groupBy("pattern_id", "pattern").agg(F.count("*").alias("times")), ["pattern_id", "pattern"]))
+    long = (join_small_side(d, pairs, ["doc_id"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("text")).where(F.contains("text", "pattern"))
+            .select("doc_id", "pattern_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).drop("_"))
+    short = p.where(F.size(_inner_runs(F.col("pattern"))) == 0)
+    n_short = short.count()
+    if not n_short:
+        return long
+    # each text is repeated for every block, and compared with the block's passages where it is
+    n_blocks = -(-n_short // BLOCK)
+    blocks = short.groupBy(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(n_blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("block"))
+    dealt = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    found = join_small_side(dealt, blocks, ["b"], max_rows=max_broadcast_rows // BLOCK, salt_source=F.xxhash64("doc_id")).select("doc_id", F.explode(F.filter("block", lambda x: F.contains(F.col("text"), x["pattern"]))).alias("hit")).select("doc_id", "hit.pattern_id")
+    return long.unionByName(found)
 
 
 def verbatim_qrels(documents: DataFrame, questions: DataFrame, query_id: str = "item_id",
