@@ -1,14 +1,12 @@
 """Embedding columns and exact nearest-neighbour search (V-01..V-06).
 
-kNN is an exhaustive scan like a flat index, but distributed: the question
-vectors (size-checked, then broadcast) meet each partition of the vector
-table inside one Arrow-batched ``mapInPandas`` pass. Each task computes a
-(questions x batch) distance block with BLAS and keeps only the running
-best k per question, so a task emits at most k rows per question; a final
-``row_number() <= k`` per question merges the partial lists. There is no
-pairwise join in the plan and nothing grows with the vector table except the
-scan itself. A question set above the bound is processed in hash batches,
-one scan each, so the answer stays exact.
+kNN is an exhaustive scan like a flat index, but distributed and by blocks: the
+questions are packed into blocks by hash, the vectors into slabs where they are,
+and each block meets each slab in one row, whose distances are one matrix
+product. Blocks are broadcast if all questions together have under
+``BROADCAST_BYTES``; else they meet the slabs by a salted join. A pair of block
+and slab hands on at most k rows per question, a final ``row_number() <= k``
+merges them. The driver gets the number of questions only.
 
 Distances are rounded to 6 decimals, also for ranking; ties break on the
 vector id.
@@ -20,13 +18,17 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions.embed import DEFAULT_DIM, hashed_embedding
+from ..plans.sizing import salted_join
 
-MAX_QUERIES_PER_SCAN = 50_000
+QUERY_BLOCK = 1024
+SLAB = 2048
+BROADCAST_BYTES = 64 << 20
 
 
 def embed_column(df: DataFrame, col: str, out: str = "embedding", dim: int = DEFAULT_DIM,
@@ -58,75 +60,83 @@ def build_vector_table(chunks: DataFrame, id_col: str = "chunk_id", text_col: st
                         "text", "embedding", dim, model).select("chunk_id", "embedding")
 
 
-def _scan_fn(bc, k: int, metric: str, vid: str, vvec: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, Q = bc.value
-        if len(qids) == 0:
-            return
-        nq = len(qids)
-        qn = np.sqrt((Q * Q).sum(axis=1))
-        best_d = np.full((nq, 0), np.inf)
-        best_i = np.zeros((nq, 0), dtype=np.int64)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            V = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vvec].tolist()])
-            ids = pdf[vid].to_numpy(dtype=np.int64)
-            if metric == "l2":
-                d2 = (Q * Q).sum(1)[:, None] + (V * V).sum(1)[None, :] - 2.0 * (Q @ V.T)
-                D = np.sqrt(np.maximum(d2, 0.0))
-            else:
-                vn = np.sqrt((V * V).sum(axis=1))
-                denom = qn[:, None] * vn[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sim = np.where(denom == 0, 0.0, (Q @ V.T) / np.where(denom == 0, 1.0, denom))
-                D = 1.0 - sim
-            all_d = np.hstack([best_d, np.round(D, 6)])
-            all_i = np.hstack([best_i, np.broadcast_to(ids, (nq, len(ids)))])
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d = np.take_along_axis(all_d, order, axis=1)
-            best_i = np.take_along_axis(all_i, order, axis=1)
-        if best_d.shape[1] == 0:
-            return
-        yield pd.DataFrame({
-            "query_id": np.repeat(qids, best_d.shape[1]),
-            "chunk_id": best_i.reshape(-1),
-            "distance": best_d.reshape(-1),
-        })
+def _packed(rows_a_block: int):
+    """Rows (b, id, vector) as rows (b, ids, flat): up to ``rows_a_block`` neighbouring rows of one b each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                for i in range(low, high, rows_a_block):
+                    part = batch.slice(i, min(rows_a_block, high - i))
+                    ids, flat = part.column(1), part.column(2).flatten()
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays([ids])),
+                         pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.concat_arrays([flat]))], names=["b", "ids", "flat"])
+
+    return run
+
+
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    dot = q @ v.T
+    qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
+    if metric == "l2":
+        d = np.sqrt(np.maximum(qq[:, None] + vv[None, :] - 2.0 * dot, 0.0))
+    else:
+        norms = np.sqrt(qq)[:, None] * np.sqrt(vv)[None, :]
+        d = 1.0 - np.where(norms == 0, 0.0, dot / np.where(norms == 0, 1.0, norms))
+    return np.round(d, 6)
+
+
+def _nearest_in(k: int, metric: str):
+    """Rows (qids, qflat, vids, vflat) -> each question's k nearest vectors of the slab, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qids, qflat, vids, vflat = (batch.column(c).slice(i, 1).flatten() for c in range(4))
+                q, v = qflat.to_numpy().reshape(len(qids), -1), vflat.to_numpy().reshape(len(vids), -1)
+                d = _distances(q, v, metric)
+                place = np.empty(len(vids), np.int64)
+                place[np.argsort(vids.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(vids))
+                most = min(k, len(vids))
+                row, col = np.nonzero(d <= np.partition(d, most - 1, axis=1)[:, most - 1: most])  # k and what ties with the last
+                order = np.lexsort((place[col], d[row, col], row))
+                row, col = row[order], col[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[keep], col[keep]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), vids.take(pa.array(col)), pa.array(d[row, col])], names=["query_id", "chunk_id", "distance"])
 
     return run
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
         qid: str = "query_id", qvec: str = "embedding", vid: str = "chunk_id", vvec: str = "embedding",
-        max_queries: int = MAX_QUERIES_PER_SCAN) -> DataFrame:
+        query_block: int = QUERY_BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """V-04/V-05/V-06: hits(query_id, rank, chunk_id, distance), k per question.
 
-    ``metric``: 'l2' (flat L2 index order) or 'cosine' (1 - cosine similarity).
+    ``metric``: 'l2' (flat L2 index order) or 'cosine' (1 - cosine similarity,
+    1 for zero vectors). Null vectors take no part; all others have one length.
+    Ids keep their types.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    spark = queries.sparkSession
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"))
-    n_batches = 1
-    if q.limit(max_queries + 1).count() > max_queries:
-        n_batches = -(-q.count() // max_queries)
-        q = q.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(n_batches)))
-    v = vectors.select(F.col(vid).cast("long").alias("vid"), F.col(vvec).alias("vvec"))
-    parts = []
-    for b in range(n_batches):
-        qb = q if n_batches == 1 else q.filter(F.col("_b") == b)
-        rows = qb.select("qid", "qvec").collect()
-        qids = np.array([r[0] for r in rows], dtype=np.int64)
-        Q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
-        bc = spark.sparkContext.broadcast((qids, Q))
-        parts.append(v.mapInPandas(_scan_fn(bc, k, metric, "vid", "vvec"),
-                                   "query_id long, chunk_id long, distance double"))
-    partial = parts[0]
-    for extra in parts[1:]:
-        partial = partial.unionByName(extra)
+    q = queries.select(F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("v")).where("v is not null")
+    v = vectors.select(F.col(vid).alias("id"), F.col(vvec).cast("array<double>").alias("v")).where("v is not null")
+    n, dim = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    kinds = [x.schema["id"].dataType.simpleString() for x in (q, v)]
+    blocks = -(-n // query_block) or 1
+    hashed = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")
+    asked = (q.select(hashed, "id", "v").repartition(blocks, "b").sortWithinPartitions("b").mapInArrow(_packed(query_block), f"b int, ids array<{kinds[0]}>, flat array<double>")
+             .select("b", F.col("ids").alias("qids"), F.col("flat").alias("qflat")))
+    slabs = v.select(F.lit(0).alias("b"), "id", "v").mapInArrow(_packed(SLAB), f"b int, ids array<{kinds[1]}>, flat array<double>")
+    slabs = slabs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.col("ids").alias("vids"), F.col("flat").alias("vflat"))
+    small = n * (dim or 0) * 8 <= broadcast_bytes
+    pairs = slabs.join(F.broadcast(asked), "b") if small else salted_join(slabs, asked, ["b"], salt_source=F.xxhash64("vids"))
+    near = pairs.select("qids", "qflat", "vids", "vflat").mapInArrow(_nearest_in(k, metric), f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("chunk_id").asc())
-    return (partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "chunk_id", "distance"))
 
 
