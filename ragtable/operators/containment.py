@@ -39,8 +39,8 @@ def _inner_runs(text: Column) -> Column:
     return let(_pieces(text), runs)
 
 
-def _all_runs(text: Column) -> Column:
-    return let(_pieces(text), lambda w: F.array_distinct(F.concat(*[ngrams(w, n) for n in range(1, RUN + 1)])))
+def _all_runs(text: Column, lengths: list[int]) -> Column:
+    return let(_pieces(text), lambda w: F.concat(*[ngrams(w, n) for n in lengths]))
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
@@ -54,14 +54,17 @@ def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id",
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
     p = patterns.select(F.col(pattern_id).alias("pattern_id"), F.col(pattern_text).alias("pattern")).where(F.col("pattern") != "")
     keys = p.select("pattern_id", "pattern", F.explode(F.array_distinct(_inner_runs(F.col("pattern")))).alias("key"))
-    held = d.select("doc_id", F.explode(_all_runs(F.col("text"))).alias("key"))
     asked = keys.select("key").distinct()
-    counted = cut_lineage(join_small_side(held.select("key"), asked, ["key"], max_rows=max_broadcast_rows, salt_source=F.rand(11)).groupBy("key").agg(F.count("*").alias("n")))
+    lengths = sorted(r[0] for r in asked.select(F.size(F.split("key", " "))).distinct().collect())  # RUN numbers at most
+    held = d.select("doc_id", F.explode(_all_runs(F.col("text"), lengths or [RUN])).alias("key"))
+    # the one pass over all texts; what it finds is kept, as it is counted first and looked up then
+    met = cut_lineage(join_small_side(held, asked, ["key"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).distinct())
+    counted = met.groupBy("key").agg(F.count("*").alias("n"))
     # a passage with a key that no text has is in none; min_by keeps one key for each
     rated = keys.join(counted, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     chosen = cut_lineage(rated.groupBy("pattern_id", "pattern").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.min("n").alias("n")).where("n > 0").drop("n"))
     # pairs carry the passage from here on, so no join on texts follows but the one with the documents' own rows
-    named = join_small_side(held, chosen.select("pattern_id", "pattern", "key"), ["key"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "pattern_id", "pattern")
+    named = join_small_side(met, chosen, ["key"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "pattern_id", "pattern")
     pairs = cut_lineage(named.distinct().join(p.groupBy("pattern_id", "pattern").agg(F.count("*").alias("times")), ["pattern_id", "pattern"]))
     long = (join_small_side(d, pairs, ["doc_id"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("text")).where(F.contains("text", "pattern"))
             .select("doc_id", "pattern_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).drop("_"))

@@ -65,6 +65,9 @@ def _packed(rows_a_block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())  # here, as a filter in the plan would make each vector twice
+            if not batch.num_rows:
+                continue
             key = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
@@ -122,8 +125,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2",
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    q = queries.select(F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("v")).where("v is not null")
-    v = vectors.select(F.col(vid).alias("id"), F.col(vvec).cast("array<double>").alias("v")).where("v is not null")
+    q = queries.select(F.col(qid).alias("id"), F.col(qvec).cast("array<double>").alias("v"))
+    v = vectors.select(F.col(vid).alias("id"), F.col(vvec).cast("array<double>").alias("v"))
     n, dim = q.agg(F.count("*"), F.max(F.size("v"))).first()
     kinds = [x.schema["id"].dataType.simpleString() for x in (q, v)]
     blocks = -(-n // query_block) or 1
