@@ -7,7 +7,7 @@ undone by one substitution. Any control string that is not made of ``<|`` (such
 as ``[INST]`` or ``</s>``) is ordinary text to this template.
 
 Turns are range-sorted by (conv_id, turn). A task renders each conversation,
-encodes the rendering once with offsets, and intersects the sorted spans of the
+encodes the rendering once with offsets (some half a million characters a call), and intersects the sorted spans of the
 assistant texts with the sorted token spans by binary search. A conversation of
 any length works: beyond ``PIECE_CHARS`` it is rendered in pieces cut between
 turns (marks are whole tokens, so pieces encode as the whole does), range
@@ -23,17 +23,23 @@ loss text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import list_column
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LEARNED_ROLE = "assistant"
 PIECE_CHARS = 1 << 18
+GROUP_CHARS = 1 << 19
 _READ = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -88,6 +94,13 @@ def load_tokenizer(source: str):
     return tok
 
 
+@lru_cache(maxsize=1)
+def worker_tokenizer(source: str):
+    """The tokenizer of a Python worker: read once, not once a task; tasks are the parallelism, so it starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return load_tokenizer(source)
+
+
 def _conversations(batches, piece_chars):
     """Runs of sorted rows with one conv_id: (conv_id, first turn, turns)."""
     now, first, turns, size = None, None, [], 0
@@ -104,22 +117,39 @@ def _conversations(batches, piece_chars):
         yield now, first, turns
 
 
+def _groups(pieces):
+    """Lists of pieces of about ``GROUP_CHARS`` rendered characters, for one call of the tokenizer each."""
+    group, size = [], 0
+    for piece in pieces:
+        if group and size + len(piece[4]) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(piece)
+        size += len(piece[4])
+    if group:
+        yield group
+
+
 def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """conv_id, turn (of the piece's first row), seq, n_turns, formatted, input_ids, loss_mask, loss_spans."""
     with open(tokenizer, encoding="utf-8") as f:
         source = turns.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB, whatever the table's size
 
     def run(batches):
-        tok = load_tokenizer(source.value)
-        for seq, (conv, first, rows) in enumerate(_conversations(batches, piece_chars)):
-            text, spans = render(rows)
-            code = tok.encode(text, add_special_tokens=False)
-            offsets = np.array(code.offsets, dtype=np.int64).reshape(-1, 2)
-            mask = token_mask(offsets, spans)
+        tok = worker_tokenizer(source.value)
+        pieces = ((conv, first, seq, len(rows), *render(rows)) for seq, (conv, first, rows) in enumerate(_conversations(batches, piece_chars)))
+        for group in _groups(pieces):
+            codes = tok.encode_batch([p[4] for p in group], add_special_tokens=False)
+            masks, spans = [], []
+            for code, piece in zip(codes, group, strict=True):
+                offsets = np.fromiter(chain.from_iterable(code.offsets), np.int64).reshape(-1, 2)
+                masks.append(token_mask(offsets, piece[5]))
+                spans.append(masked_spans(offsets, masks[-1]))
+            ids = list_column([np.array(code.ids, dtype=np.int32) for code in codes], pa.int32())
+            learned = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([first], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([text], pa.string()),
-                 pa.array([code.ids], pa.list_(pa.int32())), pa.array([mask.tolist()], pa.list_(pa.bool_())),
-                 pa.array([[{"start": a, "end": b} for a, b in masked_spans(offsets, mask)]], _SPANS)],
+                [*(pa.array([p[i] for p in group], pa.int64()) for i in range(4)), pa.array([p[4] for p in group], pa.string()), ids,
+                 list_column(masks, pa.bool_()), learned],
                 names=["conv_id", "turn", "seq", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"])
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
