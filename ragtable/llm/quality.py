@@ -9,7 +9,8 @@ among all labelled ones; scores are moved so that it comes out at ``CUT``.
 
 Defined results: null and empty texts have features of nothing and are scored;
 without labelled rows of both kinds every score is 0.5; an empty table gives no
-rows; label rows without a document are ignored.
+rows; label rows without a document are ignored, and so are ids labelled both ways;
+of several documents with one id one is learned from, and all are scored.
 """
 
 from __future__ import annotations
@@ -56,10 +57,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, y, text) of at most ``per_class`` labelled documents of each class, by hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    """(doc_id, y, text): at most ``per_class`` labelled documents of each class, by hash of doc_id.
+
+    One row for each doc_id: of several texts the one of the least hash. An id that is labelled both ways is not learned from.
+    """
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    known = given.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(parts[0].union(parts[1]).dropDuplicates(["doc_id"])), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("row"))
+    return one.select("doc_id", "y", F.col("row.text").alias("text"))
 
 
 def fit(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIRS, cut: float = CUT) -> dict:

@@ -44,6 +44,7 @@ MIN_ROWS = 2
 MIN_ROWS_SHARE = 0.002
 COMMON_SHARE = 0.03
 PRECISION = 0.97
+FALSE_MARKS = 0.05
 CUT = 0.7
 BASE_SCORE = 0.02
 PREFIXES = range(3, 9)
@@ -245,25 +246,34 @@ def marks_of(text: str) -> set[str]:
     return out
 
 
+def stands(mark: str, words: set[str]) -> bool:
+    """Whether a mark may stand alone: a whole word, or a beginning that is itself one of ``words`` or has all the letters a beginning may have."""
+    return mark.endswith(" ") or f"{mark} " in words or len(mark) > max(PREFIXES)
+
+
 def choose_marks(toxic: list[set[str]], clean_counts: dict[str, int], n_clean: int, clean_weight: float, least: int = MIN_ROWS, precision: float = PRECISION) -> dict[str, float]:
     """Marks with their precision: all that are common among toxic rows, then a greedy cover of the rows left.
 
-    A mark's rows could all be toxic by chance with probability (share of toxic rows) ** rows; it counts
-    only if that stays under one in a million for all its rows (for a row of the cover: one in ten thousand).
+    A beginning must be a word of the toxic rows (`` moron`` also meets its inflections, `` mor`` meets other words);
+    of common marks of the same rows the longest beginning stands for all, and the cover prefers it among equals.
+    A mark's rows could all be toxic by chance with probability (share of toxic rows) ** rows; it counts only if that
+    stays under ``FALSE_MARKS`` for all the given marks of ``least`` rows together.
     ``clean_weight``: how many clean rows of the labels a clean row of the sample stands for, per toxic row.
     """
     n_toxic = len(toxic)
     total = Counter(m for row in toxic for m in row)
     chance = -math.log(n_toxic / (n_toxic + n_clean))
+    tried = {m: n for m, n in total.items() if n >= least and stands(m, total)}
+    sure = math.log(max(1, len(tried)) / FALSE_MARKS)
     rows_of: dict[str, set[int]] = {}
     for i, row in enumerate(toxic):
         for m in row:
-            if total[m] >= least and total[m] / (total[m] + clean_weight * clean_counts.get(m, 0)) >= precision:
+            if m in tried and tried[m] * chance >= sure and total[m] / (total[m] + clean_weight * clean_counts.get(m, 0)) >= precision:
                 rows_of.setdefault(m, set()).add(i)
     score = {m: len(r) / (len(r) + clean_weight * clean_counts.get(m, 0) + 0.5) for m, r in rows_of.items()}
     out: dict[str, float] = {}
-    # one mark stands for all that mark the same rows: the shortest
-    common = sorted((m for m, r in rows_of.items() if len(r) * chance >= math.log(1e6) and len(r) >= COMMON_SHARE * n_toxic), key=lambda m: (-len(rows_of[m]), len(m), m))
+    first = lambda m: (m.endswith(" "), -len(m), m)
+    common = sorted((m for m, r in rows_of.items() if len(r) >= COMMON_SHARE * n_toxic), key=lambda m: (-len(rows_of[m]), first(m)))
     seen: set[frozenset[int]] = set()
     for m in common:
         key = frozenset(rows_of[m])
@@ -273,9 +283,9 @@ def choose_marks(toxic: list[set[str]], clean_counts: dict[str, int], n_clean: i
     done = {i for m in out for i in rows_of[m]}
     left = {m: r - done for m, r in rows_of.items()}
     while left:
-        best = min(left, key=lambda m: (-len(left[m]) * score[m], len(m), m))
+        best = min(left, key=lambda m: (-len(left[m]) * score[m], first(m)))
         covered = left.pop(best)
-        if len(covered) < least or len(covered) * chance < math.log(1e4):
+        if len(covered) < least or len(covered) * chance < sure:
             break
         out[best] = score[best]
         left = {m: r - covered for m, r in left.items() if len(r - covered) >= least}
@@ -283,7 +293,7 @@ def choose_marks(toxic: list[set[str]], clean_counts: dict[str, int], n_clean: i
 
 
 def learn_marks(docs: DataFrame, labels: DataFrame, model: dict, per_class: int = SAMPLE) -> dict[str, float]:
-    """Marks and precisions from a bounded labelled sample; copies of a text count once."""
+    """Marks and precisions from a bounded labelled sample; copies of a text count once, a text labelled both ways not at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -293,7 +303,8 @@ def learn_marks(docs: DataFrame, labels: DataFrame, model: dict, per_class: int
             found = [sorted(marks_of(restored_text(raw[off[i]: off[i + 1]], shared.value, memo))) for i in range(rows.num_rows)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "marks"])
 
-    sample = labelled_sample(docs, labels, "toxic", per_class).dropDuplicates(["text"]).select("y", "text")
+    given = labelled_sample(docs, labels, "toxic", per_class).groupBy("text").agg(F.min("y").alias("y"), F.max("y").alias("other"))
+    sample = given.where("y = other").select("y", "text")
     rows = cut_lineage(sample.mapInArrow(run, "y int, marks array<string>"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):

@@ -256,6 +256,46 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.learn_marks(docs, labels.limit(0), model) == {}
 
 
+def test_labelled_sample_is_bounded(spark):
+    """One row for each sampled id, however often it is repeated; ids labelled both ways, null ids and other labels are not learned from."""
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").union(spark.createDataFrame([(i, f"t{i}") for i in [*range(2, 30), None]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)] + [(1, 1), (4, 1), (None, 1), (6, 7), (8, None)], "doc_id long, quality int")
+    for bound in (5, 100):
+        rows = quality.labelled_sample(docs, labels, "quality", bound).collect()
+        by = Counter(r.y for r in rows)
+        assert len({r.doc_id for r in rows}) == len(rows) and max(by.values()) <= bound
+        assert all(r.y == r.doc_id % 2 and r.doc_id != 4 for r in rows)
+        assert sorted(rows) == sorted(quality.labelled_sample(docs.repartition(3), labels.repartition(5), "quality", bound).collect())
+    assert by == {1: 15, 0: 13}
+
+
+def test_marks_are_words_not_fragments(spark):
+    """Beginnings shared with plain words are no marks, though no labelled row shows it."""
+    rows, labels = [], []
+    for i in range(200):
+        foul = i % 2
+        rows.append((i, _prose(300 + i, 40, 500) + (f" you {['moron', 'pathetic idiot', 'disgusting clown'][i % 3]}" if foul else "")))
+        labels.append((i, foul))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, marks = toxicity.fit(docs, known)
+    assert marks and all(toxicity.stands(m, {" moron ", " pathetic ", " idiot ", " disgusting ", " clown ", " you "}) for m in marks)
+    plain = ["I would like more tea this morning", "She travelled by train to the district", "The path was closed, so we discussed it", "A clock and a closed idiom"]
+    foul = ["those morons", "m0r0n!", "p a t h e t i c"]
+    scores = {r.text: r.score for r in toxicity.with_toxicity(spark.createDataFrame([(t,) for t in plain + foul], "text string"), model, marks, keep_text=True).collect()}
+    assert all(scores[t] < toxicity.CUT for t in plain) and all(scores[t] >= toxicity.CUT for t in foul)
+
+
+def test_choose_marks_brute_force():
+    toxic = [{" moron ", " mor", " moro", " moron", f" w{i} "} for i in range(30)] + [{" oaf ", " oaf", f" x{i} "} for i in range(10)]
+    clean = {" oaf": 3}
+    got = toxicity.choose_marks(toxic, clean, 40, 1.0)
+    rows = {m: sum(m in r for r in toxic) for m in {m for r in toxic for m in r}}
+    tried = [m for m in rows if rows[m] >= toxicity.MIN_ROWS and (m.endswith(" ") or f"{m} " in rows)]
+    sure = [m for m in tried if 0.5 ** rows[m] * len(tried) <= toxicity.FALSE_MARKS and rows[m] / (rows[m] + clean.get(m, 0)) >= toxicity.PRECISION]
+    assert sorted(sure) == [" moron", " moron ", " oaf "]
+    assert got == {" moron": 30 / 30.5, " oaf ": 10 / 10.5}
+
+
 def test_toxicity_long_and_spaced_spans(spark):
     docs, labels = _labelled(spark)
     model, marks = toxicity.fit(docs, labels)
