@@ -29,17 +29,20 @@ def l2_normalize(v: Column) -> Column:
     return let(v, body)
 
 
-def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """array<double>(dim): normalised hashed term counts ('' or no word -> zeros).
+def hashed_counts(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """array<double>(dim): how many tokens fall in each bucket ('' or no word -> zeros).
 
-    One pass over the tokens: each token's bucket is hashed once and added to
-    a dim-long count array.
+    Each token's bucket is hashed once; a bucket's count is what its removal takes
+    from the list, so there is one step for each bucket, not one for each (token, bucket).
     """
-    buckets = F.transform(word_tokens(text), lambda t: token_bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.aggregate(buckets, zero,
-                         lambda acc, b: F.transform(acc, lambda x, j: x + F.when(b == j, 1.0).otherwise(0.0)))
-    return l2_normalize(counts)
+    buckets = F.transform(word_tokens(text), lambda t: token_bucket(t, dim).cast("int"))
+    return let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                                              lambda j: (F.size(b) - F.size(F.array_remove(b, j))).cast("double")))
+
+
+def hashed_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """array<double>(dim): normalised hashed term counts ('' or no word -> zeros)."""
+    return l2_normalize(hashed_counts(text, dim))
 
 
 def dot(a: Column, b: Column) -> Column:

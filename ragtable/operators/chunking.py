@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..functions.embed import DEFAULT_DIM, cosine_distance, hashed_embedding
+from ..functions.embed import DEFAULT_DIM, cosine_distance, dot, hashed_counts, norm
 from ..functions.text import PY_SPACE
 from ..functions.tokens import let, whitespace_tokens
 from ..session import cut_lineage
@@ -134,6 +134,27 @@ def consecutive_distances(vectors: Column) -> Column:
                                                lambda v, i: cosine_distance(v, F.get(vs, i + 1))))
 
 
+def window_distances(sents: Column, dim: int = DEFAULT_DIM) -> Column:
+    """C-11 over C-10's windows under the hashed embedder: 1 - cos of each window and the next.
+
+    A window's term counts are the sum of its sentences', so each sentence is tokenised and hashed once.
+    """
+    def plus(v, other):
+        return F.when(other.isNull(), v).otherwise(F.zip_with(v, other, lambda x, y: x + y))
+
+    def with_counts(c):
+        sums = F.transform(c, lambda v, i: plus(plus(v, F.get(c, i - 1)), F.get(c, i + 1)))
+        return let(F.transform(sums, lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), with_windows)
+
+    def with_windows(w):
+        def apart(a, i):
+            return let(F.get(w, i + 1), lambda b: F.when((a["n"] == 0) | (b["n"] == 0), F.lit(1.0)).otherwise(1.0 - dot(a["v"], b["v"]) / (a["n"] * b["n"])))
+
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), apart)
+
+    return let(F.transform(sents, lambda s: hashed_counts(s, dim)), with_counts)
+
+
 def linear_percentile(values: Column, p: float) -> Column:
     """NumPy 'linear' percentile of an array (null when empty)."""
     def body(s):
@@ -176,14 +197,12 @@ def semantic_split(text: Column, percentile: float = 95.0, dim: int = DEFAULT_DI
     """C-06: sentences -> windows -> embeddings -> consecutive distances -> percentile breaks.
 
     ``embed`` maps a string Column to an array<double> Column; default is the
-    hashed embedder. Distances are rounded to 6 decimals before the percentile
+    hashed embedder, whose windows are summed from their sentences. Distances are rounded to 6 decimals before the percentile
     so engines with different float sum order cut at the same places.
     """
-    emb = embed or (lambda c: hashed_embedding(c, dim))
-
     def with_sents(s):
-        vecs = F.transform(sentence_windows(s), lambda w: emb(w))
-        dist = F.transform(consecutive_distances(vecs), lambda x: F.round(x, 6))
+        apart = consecutive_distances(F.transform(sentence_windows(s), embed)) if embed else window_distances(s, dim)
+        dist = F.transform(apart, lambda x: F.round(x, 6))
         return percentile_breaks(s, dist, percentile, text)
 
     return let(sentences(text), with_sents)

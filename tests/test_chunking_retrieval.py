@@ -163,3 +163,16 @@ def test_retrieve_dispatch(spark):
     assert resolve_max_k(cfg) == 3
     with pytest.raises(ValueError):
         retrieve(q, docs, {"retriever": "BM25_retriever"})
+
+
+def test_window_distances_equal_embedded_windows(spark):
+    from ragtable.functions.embed import hashed_embedding
+
+    texts = ["", "One. Two three? Four five six! one two.", "no end", None, "A. A. A.", "... !!! ???  x. \n y. é ü. z", "w " * 3000 + ". b. " + "c d. " * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    s = C.sentences(F.col("text"))
+    got = df.select(C.window_distances(s).alias("a"), C.consecutive_distances(F.transform(C.sentence_windows(s), lambda w: hashed_embedding(w))).alias("b"),
+                    C.semantic_split(F.col("text"), 60).alias("c"), C.semantic_split(F.col("text"), 60, embed=lambda w: hashed_embedding(w)).alias("d")).collect()
+    for r in got:
+        assert len(r.a) == len(r.b) and all(abs(x - y) < 1e-9 for x, y in zip(r.a, r.b))
+        assert r.c == r.d
