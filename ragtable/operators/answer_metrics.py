@@ -106,15 +106,16 @@ def rouge_n(pairs: DataFrame, orders=(1, 2)) -> DataFrame:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0]
-        for j, y in enumerate(b):
-            cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
-        prev = cur
-    return prev[-1]
+    """Length of the longest common subsequence; a row of the table is the bits of one integer (a zero: the length grows there)."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for t in b:
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def _lcs_table(a: list[str], b: list[str]) -> list[list[int]]:

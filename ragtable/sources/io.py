@@ -7,12 +7,14 @@ the ``_metadata`` column. Writers are plain DataFrame writes.
 
 from __future__ import annotations
 
+import csv
 import os
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import nested_value, reformat_date
 
@@ -20,6 +22,11 @@ DOCUMENT_SCHEMA = "Dates map<string,string>, Misc map<string,string>, Classifica
 QA_SCHEMA = "source string, type string, question string, answer string"
 
 
+def file_name():
+    """Name of a row's file; the metadata column holds it URL-encoded (``+`` stands for itself there)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def _stem(c):
     return F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]*$", "")
 
@@ -27,7 +34,7 @@ def _stem(c):
 def read_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA) -> DataFrame:
     """S-01/S-04: one JSON document per ``*.json`` file; doc_key = file name, CELEX_ID = ID = stem."""
     df = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-          .select("*", F.col("_metadata.file_name").alias("doc_key")))
+          .select("*", file_name().alias("doc_key")))
     return df.withColumn("CELEX_ID", _stem(F.col("doc_key"))).withColumn("ID", F.col("CELEX_ID"))
 
 
@@ -57,12 +64,48 @@ def load_chunks(df: DataFrame, content_key: str, mapping: dict[str, dict] | None
     return df.select(*cols)
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a CSV file, from its first line."""
+    fs, at = _hadoop_path(spark, path)
+    lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    try:
+        return tuple(next(csv.reader([(lines.readLine() or "").removeprefix("\ufeff")]), ()))
+    finally:
+        lines.close()
+
+
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """String columns whose values are all whole numbers become long, all numbers double; one pass decides for all columns."""
+    if not columns:
+        return df
+
+    def fits(c, kind):
+        return F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(kind).isNotNull())
+
+    found = df.agg(*[fits(c, kind).alias(f"{kind}{i}") for i, c in enumerate(columns) for kind in ("bigint", "double")],
+                   *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    types = {c: next((k for k in ("bigint", "double") if found[f"{k}{i}"]), "string") for i, c in enumerate(columns) if found[f"n{i}"]}
+    return df.select(*[F.col(f"`{c}`").cast(types.get(c, "string")).alias(c) for c in df.columns])
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """S-05: one CSV per config (file stem = config); differing headers are unioned by name."""
-    files = sorted(f for f in list_folder(spark, path) if f.endswith(".csv"))
-    parts = [spark.read.option("header", True).option("inferSchema", True).csv(os.path.join(path, f))
-             .withColumn("config", F.lit(f[:-4])) for f in files]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    """S-05: one CSV per config (file stem = config); differing headers are unioned by name.
+
+    Files of equal headers are one scan, and one pass over all files finds the numeric columns, so
+    the number of jobs does not depend on the number of files. Columns without a value stay strings;
+    files without a header line are skipped; a folder without any has no rows and only ``config``.
+    """
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for f in sorted(f for f in list_folder(spark, path) if f.endswith(".csv")):
+        names = _header(spark, os.path.join(path, f))
+        if names:
+            alike.setdefault(names, []).append(os.path.join(path, f))
+    parts = [spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True).csv(files)
+             .select("*", _stem(file_name()).alias("config")) for names, files in alike.items()]
+    if not parts:
+        return spark.createDataFrame([], "config string")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _numbers(rows, [c for c in rows.columns if c != "config"])
 
 
 def write_results(df: DataFrame, path: str) -> None:

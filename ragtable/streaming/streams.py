@@ -27,7 +27,7 @@ from ..functions.html import html_to_text
 from ..operators.chunking import character_windows
 from ..plans.preprocess import document_steps, run_steps
 from ..session import ensure_checkpoint_dir
-from ..sources.io import DOCUMENT_SCHEMA
+from ..sources.io import DOCUMENT_SCHEMA, file_name
 
 
 def _ckpt(spark: SparkSession, kind: str, target: str) -> str:
@@ -56,7 +56,7 @@ def stream_documents(spark: SparkSession, source_dir: str, out_dir: str, files_p
     with the files that have come since.
     """
     docs = (spark.readStream.schema(DOCUMENT_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.json").option("maxFilesPerTrigger", files_per_batch)
-            .json(source_dir).select("*", F.col("_metadata.file_name").alias("doc_key")))
+            .json(source_dir).select("*", file_name().alias("doc_key")))
     docs = docs.withColumn("CELEX_ID", F.regexp_replace("doc_key", r"\.[^.]*$", "")).withColumn("ID", F.col("CELEX_ID"))
     q = (run_steps(docs, document_steps(**steps)).writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", _ckpt(spark, "documents", out_dir)).trigger(availableNow=True).start())
@@ -80,8 +80,11 @@ HISTORY_OUT = "conv_id long, turn long, role string, text string"
 HISTORY_STATE = "turns array<long>, roles array<string>, texts array<string>"
 
 
-def _window_fn(k: int):
+def _window_fn(k: int, idle_ms: int | None = None):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             turns, roles, texts = state.get
             cur = pd.DataFrame({"turn": list(turns), "role": list(roles), "text": list(texts)})
@@ -92,15 +95,21 @@ def _window_fn(k: int):
             cur = pd.concat([cur, pdf[["turn", "role", "text"]]], ignore_index=True)
         cur = cur.drop_duplicates("turn", keep="last").sort_values("turn").tail(2 * k)
         state.update((cur["turn"].astype("int64").tolist(), cur["role"].tolist(), cur["text"].tolist()))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield cur.assign(conv_id=key[0])[["conv_id", "turn", "role", "text"]]
 
     return fn
 
 
-def stream_history_window(messages: DataFrame, k: int) -> DataFrame:
-    """T-03: per conversation, the last 2k messages as streaming state (bounded per key)."""
-    return messages.groupBy("conv_id").applyInPandasWithState(
-        _window_fn(k), HISTORY_OUT, HISTORY_STATE, "update", GroupStateTimeout.NoTimeout)
+def stream_history_window(messages: DataFrame, k: int, idle_ms: int | None = None) -> DataFrame:
+    """T-03: per conversation, the last 2k messages as streaming state (bounded per key).
+
+    With ``idle_ms`` the state of a conversation without a message for that long (processing time) is
+    dropped; if it goes on later, its window starts anew. Without it, state is kept for ever.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy("conv_id").applyInPandasWithState(_window_fn(k, idle_ms), HISTORY_OUT, HISTORY_STATE, "update", timeout)
 
 
 def run_history_window(spark: SparkSession, source_dir: str, schema: str, k: int, out_dir: str, files_per_batch: int | None = None) -> DataFrame:

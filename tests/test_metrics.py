@@ -1,7 +1,10 @@
 """Golden retrieval metrics (reference unit tests + hand-computed cases)."""
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from ragtable.operators import answer_metrics, leaderboard
 from ragtable.operators.metrics import metrics_at_k, ranking_metrics
 
 
@@ -71,3 +74,39 @@ def test_no_hits_no_refs(spark):
     rows = metrics_at_k(hits, qrels, qs, 2).collect()
     assert len(rows) == 2 and all(r["recall"] == 0 and r["precision"] == 0 and r["ap"] == 0 for r in rows)
     assert ranking_metrics(hits, qrels, qs, 2).collect()[0]["rr"] == 0.0
+
+
+def test_answer_goldens(spark):
+    pairs = spark.createDataFrame([(1, "Hello world", "Hello world"), (2, "Hello world", "Hello"), (3, "", "x"), (4, None, None), (5, "the cat sat on the mat today", "the cat sat on the mat")],
+                                  "pair_id long, prediction string, reference string")
+    bleu = {r.pair_id: r for r in answer_metrics.bleu(pairs).collect()}
+    assert list(bleu[1].precisions) == [1.0, 1.0, 0.0, 0.0] and list(bleu[2].precisions) == [0.5, 0.0, 0.0, 0.0] and bleu[1].bleu == 0.0
+    assert list(bleu[5].precisions) == pytest.approx([6 / 7, 5 / 6, 4 / 5, 3 / 4], abs=1e-6)
+    assert bleu[5].bleu == pytest.approx((6 / 7 * 5 / 6 * 4 / 5 * 3 / 4) ** 0.25, abs=1e-6) and bleu[5].brevity_penalty == 1.0
+    rouge = {r.pair_id: r for r in answer_metrics.rouge_n(pairs).collect()}
+    assert (rouge[1].rouge1, rouge[1].rouge2) == (1.0, 1.0) and rouge[2].rouge1 == pytest.approx(2 / 3, abs=1e-6) and rouge[2].rouge2 == 0.0
+    longest = {r.pair_id: r for r in pairs.select("pair_id", answer_metrics.rouge_l("prediction", "reference").alias("l"), answer_metrics.rouge_lsum("prediction", "reference").alias("s")).collect()}
+    assert longest[1].l == longest[1].s == 1.0 and longest[2].l == longest[2].s == pytest.approx(2 / 3, abs=1e-6) and longest[3].l == longest[4].l == 0.0
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=80), st.lists(st.sampled_from("abcd"), max_size=80))
+def test_lcs_equals_its_table(a, b):
+    assert answer_metrics._lcs(a, b) == answer_metrics._lcs_table(a, b)[-1][-1]
+
+
+def test_leaderboard_rankings(spark):
+    """Means, delta, imputation and both rankings of three configs, by hand."""
+    results = spark.createDataFrame([("a", "m", 1.0), ("a", "m", 3.0), ("a", "n", 0.0), ("b", "m", 4.0), ("b", "n", float("nan")), ("b", "n", 1.0), ("c", "m", 0.0), ("c", "n", None)],
+                                    "config string, metric string, value double")
+    means = leaderboard.config_means(results)
+    assert {(r.config, r.metric): r.mean for r in means.collect()} == {("a", "m"): 2.0, ("a", "n"): 0.0, ("b", "m"): 4.0, ("b", "n"): 1.0, ("c", "m"): 0.0}
+    delta = leaderboard.add_delta(means, "m", "n", "d").where("metric = 'd'")
+    assert {r.config: r["mean"] for r in delta.collect()} == {"a": 2.0, "b": 3.0}
+    grid = leaderboard.impute_mean(means, results.select("config"), ["m", "n"])
+    assert [(r.config, r.value) for r in grid.where("imputed").collect()] == [("c", 0.5)]
+    assert [(r.config, r.score, r.rank) for r in leaderboard.rank_by_mean(grid).sort("rank").collect()] == [("b", 2.5, 1), ("a", 1.0, 2), ("c", 0.25, 3)]
+    z = leaderboard.rank_by_zscore(grid).sort("rank").collect()
+    assert [(r.config, r.rank) for r in sorted(z, key=lambda r: r.config)] == [("a", 2), ("b", 1), ("c", 2)]
+    assert {r.config: r.score for r in z} == pytest.approx({"a": -1.0, "b": 2.0, "c": -1.0}, abs=1e-6)
+    hidden = [r for r in leaderboard.zscores(grid).collect() if r.z_masked is None]
+    assert [(r.config, r.metric) for r in hidden] == [("c", "n")]

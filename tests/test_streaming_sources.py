@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ragtable.operators.context import history_window
@@ -91,3 +92,51 @@ def test_index_and_results_on_any_store(spark):
     with open(os.path.join(d, "one.csv"), "w") as f:
         f.write("a,b\n1,2\n")
     assert [r["config"] for r in io.read_results(spark, f"file://{d}").collect()] == ["one"]
+
+
+def test_results_of_differing_headers(spark):
+    d = tempfile.mkdtemp(prefix="ragtable-results-")
+    files = {"c 1.csv": "rr,text,n,none\n0.5,\"a,b\",1,\nNaN,,2,\n", "c2.csv": "rr,text,n,none\n1,3,3,\n", "c3.csv": "n,extra\n4,1e3\n5,x\n", "empty.csv": "", "no.txt": "z\n1\n"}
+    for name, text in files.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    got = io.read_results(spark, f"file://{d}")
+    assert dict(got.dtypes) == {"rr": "double", "text": "string", "n": "bigint", "none": "string", "config": "string", "extra": "string"}
+    rows = sorted((r.config, r.n, r.text, r.extra, str(r.rr)) for r in got.collect())
+    assert rows == [("c 1", 1, "a,b", None, "0.5"), ("c 1", 2, None, None, "nan"), ("c2", 3, "3", None, "1.0"), ("c3", 4, None, "1e3", "None"), ("c3", 5, None, "x", "None")]
+    assert io.read_results(spark, f"file://{tempfile.mkdtemp()}").collect() == []
+
+
+def test_document_keys_are_file_names(spark):
+    d = tempfile.mkdtemp(prefix="ragtable-names-")
+    names = ["a b.json", "c+d.json", "e%20f.json", "é.x.json"]
+    for n in names:
+        with open(os.path.join(d, n), "w") as f:
+            f.write('{"html": "x"}')
+    assert sorted((r.doc_key, r.ID) for r in io.read_documents(spark, d).collect()) == sorted((n, n[:-5]) for n in names)
+
+
+def test_idle_history_state_expires():
+    class State:
+        exists, hasTimedOut, value, timeout = False, False, None, None
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.timeout = ms
+
+        @property
+        def get(self):
+            return self.value
+
+    state, fn = State(), streams._window_fn(1, 500)
+    rows = pd.DataFrame({"turn": [0, 1, 2], "role": ["u", "a", "u"], "text": ["x", "y", "z"]})
+    assert [list(p.turn) for p in fn((7,), iter([rows]), state)] == [[1, 2]] and state.timeout == 500 and state.exists
+    state.hasTimedOut = True
+    assert list(fn((7,), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    assert [list(p.turn) for p in fn((7,), iter([rows.tail(1)]), state)] == [[2]]
