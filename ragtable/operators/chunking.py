@@ -22,6 +22,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions.embed import DEFAULT_DIM, cosine_distance, dot, hashed_counts, norm
@@ -59,7 +60,7 @@ def _partition_offsets(counts: DataFrame, key: str) -> DataFrame:
     for pid, t in sorted((int(r["pid"]), int(r["t"])) for r in totals):
         base[pid] = run
         run += t
-    schema = f"{key} {dict(ranged.dtypes)[key]}, offset long"
+    schema = f"{key} {dict(ranged.dtypes)[key]}, top long, offset long"
 
     def add_offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -69,16 +70,26 @@ def _partition_offsets(counts: DataFrame, key: str) -> DataFrame:
             n = pdf["n"].astype("int64")
             excl = n.cumsum() - n + run_local
             run_local += int(n.sum())
-            yield pd.DataFrame({key: pdf[key], "offset": excl.astype("int64")})
+            yield pd.DataFrame({key: pdf[key], "top": pdf["top"].astype("int64"), "offset": excl.astype("int64")})
 
     return ranged.mapInPandas(add_offsets, schema)
 
 
-def assign_chunk_ids(chunks: DataFrame, doc_key: str = "doc_key", index_col: str = "chunk_index") -> DataFrame:
-    """C-02: ``chunk_id`` = running int from 0 over all chunks in (doc key, chunk index) order."""
-    counts = chunks.groupBy(doc_key).agg(F.count(F.lit(1)).alias("n"))
-    offs = _partition_offsets(counts, doc_key)
-    return chunks.join(offs, doc_key).withColumn("chunk_id", F.col("offset") + F.col(index_col)).drop("offset")
+#: chunks of one document that meet their offset in one task
+CHUNKS_PER_TASK = 100_000
+
+
+def assign_chunk_ids(chunks: DataFrame, doc_key: str = "doc_key", index_col: str = "chunk_index", per_task: int = CHUNKS_PER_TASK) -> DataFrame:
+    """C-02: ``chunk_id`` = running int from 0 over all chunks in (doc key, chunk index) order.
+
+    A document's offset is repeated for each ``per_task`` of its chunk indices, so a document with a third
+    of all chunks meets its offset in many tasks.
+    """
+    counts = chunks.groupBy(doc_key).agg(F.count(F.lit(1)).alias("n"), F.max(index_col).alias("top"))
+    part = F.floor(F.col(index_col) / F.lit(per_task))
+    offs = (_partition_offsets(counts, doc_key)
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / F.lit(per_task))))))
+    return chunks.withColumn("part", part).join(offs, [doc_key, "part"]).withColumn("chunk_id", F.col("offset") + F.col(index_col)).drop("offset", "part", "top")
 
 
 # ---- C-04: fixed character windows (separator '') ------------------------------
@@ -210,15 +221,25 @@ def semantic_split(text: Column, percentile: float = 95.0, dim: int = DEFAULT_DI
 
 # ---- C-13: start index ---------------------------------------------------------
 
-def start_indices(text: Column, chunks: Column) -> Column:
-    """C-13: 0-based position of each chunk in its source, searching from previous hit + 1; -1 if absent."""
-    init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("prev"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _found_at(texts: pd.Series, chunks: pd.Series) -> pd.Series:
+    def places(text, parts):
+        at, out = -1, []
+        for part in parts:
+            at = -1 if part is None else text.find(part, at + 1)
+            out.append(at)
+        return out
 
-    def step(acc, c):
-        idx = F.call_function("locate", c, text, acc["prev"] + 2) - 1
-        return F.struct(F.concat(acc["out"], F.array(idx)).alias("out"), idx.alias("prev"))
+    return pd.Series([None if t is None or c is None else places(t, c) for t, c in zip(texts, chunks)], dtype=object)
 
-    return F.aggregate(chunks, init, step, lambda acc: acc["out"])
+
+def start_indices(text: Column, chunks: Column) -> Column:
+    """C-13: 0-based position of each chunk in its source, searching from previous hit + 1; -1 if absent.
+
+    The JVM's search by character walks a text from its start for every chunk; here each search goes on where
+    the last one ended, so a very long text costs one walk. Null text or chunks give null.
+    """
+    return _found_at(text, chunks)
 
 
 # ---- C-03 / C-04 with separator / C-07: recursive separator splitter ----------

@@ -176,3 +176,19 @@ def test_window_distances_equal_embedded_windows(spark):
     for r in got:
         assert len(r.a) == len(r.b) and all(abs(x - y) < 1e-9 for x, y in zip(r.a, r.b))
         assert r.c == r.d
+
+
+def test_chunk_ids_of_a_document_spread_over_tasks(spark):
+    rows = [("a", 0, "x"), *(("b", i, str(i)) for i in range(7)), ("c", 0, "y"), ("c", 1, "z")]
+    chunks = spark.createDataFrame(rows, "doc_key string, chunk_index int, chunk_text string")
+    got = {(r.doc_key, r.chunk_index): r.chunk_id for r in C.assign_chunk_ids(chunks, "doc_key", per_task=2).collect()}
+    assert got == {(d, i): n for n, (d, i, _) in enumerate(rows)}
+    assert C.assign_chunk_ids(chunks, "doc_key", per_task=2).columns == ["doc_key", "chunk_index", "chunk_text", "chunk_id"]
+
+
+def test_start_indices_of_a_long_text(spark):
+    text = "é" + "word " * 40000
+    parts = ["word"] * 40000
+    df = spark.createDataFrame([(1, text, parts), (2, None, ["a"]), (3, "ab", []), (4, "ab", None)], "id int, text string, chunks array<string>")
+    got = {r.id: r.at for r in df.select("id", C.start_indices(F.col("text"), F.col("chunks")).alias("at")).collect()}
+    assert got[1] == [1 + 5 * i for i in range(40000)] and got[2] is None and got[3] == [] and got[4] is None
