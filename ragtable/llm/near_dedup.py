@@ -2,7 +2,8 @@
 
 1. One scan makes each text's set of word shingles, its MinHash signature and a
    128-bit set key. Equal sets collapse to one node by a map-side combined
-   minimum, so thousands of copies cost one row.
+   minimum, so thousands of copies cost one row. Keys that share a half get
+   names of their own.
 2. Signatures are cut in bands; nodes sharing a band key are candidates. A
    bucket does not emit its pairs: each member is tried against the bucket's
    smallest node, which joins most of a group of near copies at once.
@@ -38,6 +39,7 @@ from ..session import cut_lineage
 from .graph import connected_components
 from .kernels import blocks, list_column, mix64, shingle_sets
 from .slots import may_contain, slot_filter
+from .spread import ROWS_PER_TASK, hot_keys, spread_join
 
 N_HASHES = 128
 BAND_ROWS = 4
@@ -45,6 +47,7 @@ BATCH = 16
 MISS = 1e-6
 SEED = 7919
 BLOCK_BYTES = 2 << 20
+_HALVES = (np.uint64(0), np.uint64(0xA5A5A5A5))  # what a set's shingles are xored with for each half of its key
 
 
 def min_matches(threshold: float, n_hashes: int = N_HASHES, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -68,7 +71,7 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, n_hashes: int = N_HASHES) -> DataFrame:
-    """(doc_id, n_shingles, node, node2, sig): node and node2 are null for texts without words."""
+    """(doc_id, n_shingles, half1, half2, sig): the halves of the set's key are null for texts without words."""
 
     def scan(batches):
         xor, mul = _permutations(n_hashes)
@@ -85,16 +88,15 @@ def signatures(docs: DataFrame, k: int, n_hashes: int = N_HASHES) -> DataFrame:
                 np.cumsum(sizes[full][:-1], out=at[1:])
                 for j in range(n_hashes):
                     sig[full, j] = (np.minimum.reduceat((flat ^ xor[j]) * mul[j], at) >> np.uint64(32)).astype(np.uint32)
-                one[full] = mix64(np.add.reduceat(mix64(flat), at))
-                two[full] = mix64(np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5)), at))
+                one[full], two[full] = (mix64(np.add.reduceat(mix64(flat ^ x), at)) for x in _HALVES)
             none = sizes == 0
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none),
                  list_column([sig[i].view(np.int32) if sizes[i] else np.zeros(0, np.int32) for i in range(len(sets))], pa.int32())],
-                names=["doc_id", "n_shingles", "node", "node2", "sig"])
+                names=["doc_id", "n_shingles", "half1", "half2", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, n_shingles long, node long, node2 long, sig array<int>")
+        scan, "doc_id long, n_shingles long, half1 long, half2 long, sig array<int>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -118,18 +120,41 @@ def sequential_filter(pairs: DataFrame, threshold: float, n_hashes: int = N_HASH
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(judge, "u long, v long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, items) of ``nodes``: the full shingle sets, one per node, cut anew by a scan that skips other texts."""
-    wanted = slot_filter(nodes, "node")
+def own_names(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (half1, half2: a 128-bit key, no two rows alike) with ``node``, one 64-bit name for each row.
+
+    The name is the first half; where rows share it, a hash of both halves, until all names differ.
+    """
+    named = nodes.withColumn("node", F.col("half1"))
+    salt = 0
+    while True:
+        twice = cut_lineage(named.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node", F.lit(True).alias("again")))
+        if twice.isEmpty():
+            return named
+        named = cut_lineage(named.join(twice, "node", "left").withColumn(
+            "node", F.when(F.col("again"), F.xxhash64("half1", "half2", F.lit(salt))).otherwise(F.col("node"))).drop("again"))
+        salt += 1
+
+
+def _sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(half1, half2, items): the full shingle sets, one per key, cut anew by a scan that skips most other texts.
+
+    Copies leave a block once and are combined before the shuffle, so a task of it sends one set however many copies it has read.
+    """
+    wanted = slot_filter(keys, "half1")
 
     def scan(batches):
         for _, data, off in blocks(batches, "text"):
             sets = [s for s in shingle_sets(data, off, k) if len(s)]
-            one = np.array([mix64(mix64(s).sum(dtype=np.uint64, keepdims=True))[0] for s in sets], dtype=np.uint64)
-            pick = np.flatnonzero(may_contain(wanted.value, one))
-            yield pa.RecordBatch.from_arrays([pa.array(one[pick].view(np.int64)), list_column([sets[i].view(np.int64) for i in pick], pa.int64())], names=["node", "items"])
+            if not sets:
+                continue
+            one, two = (np.array([mix64(mix64(s ^ x).sum(dtype=np.uint64, keepdims=True))[0] for s in sets], dtype=np.uint64) for x in _HALVES)
+            _, first = np.unique(np.column_stack([one, two]), axis=0, return_index=True)
+            pick = np.sort(first[may_contain(wanted.value, one[first])])
+            yield pa.RecordBatch.from_arrays([pa.array(one[pick].view(np.int64)), pa.array(two[pick].view(np.int64)), list_column([sets[i].view(np.int64) for i in pick], pa.int64())],
+                                             names=["half1", "half2", "items"])
 
-    return docs.select("text").mapInArrow(scan, "node long, items array<long>").join(nodes.select("node"), "node").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(scan, "half1 long, half2 long, items array<long>").dropDuplicates(["half1", "half2"])
 
 
 def _exact(first: list[np.ndarray], second: list[np.ndarray], ask: np.ndarray, percent: int, columns: int = 4096) -> np.ndarray:
@@ -213,30 +238,32 @@ def _block_links(pairs: DataFrame, least: list[int], n_hashes: int, batch: int,
 
 
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_hashes: int = N_HASHES, band_rows: int = BAND_ROWS,
-                              batch: int = BATCH, miss: float = MISS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row."""
+                              batch: int = BATCH, miss: float = MISS, block_bytes: int = BLOCK_BYTES, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row. Keys of over ``per_task`` rows are dealt over tasks."""
     scanned = cut_lineage(signatures(docs, k, n_hashes))
-    nodes = cut_lineage(scanned.where(F.col("node").isNotNull()).groupBy("node", "node2")
-                        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n")))
+    nodes = own_names(cut_lineage(scanned.where(F.col("half1").isNotNull()).groupBy("half1", "half2")
+                        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n"))))
     bands = F.transform(F.sequence(F.lit(0), F.lit(n_hashes // band_rows - 1)),
                         lambda b: F.xxhash64(b, F.slice("sig", b * band_rows + 1, band_rows)))
     items = nodes.select(F.explode(bands).alias("bk"), "node")
-    shared = items.groupBy("bk").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").select("bk", "hub")
-    members = cut_lineage(items.join(shared, "bk"))
-    used = cut_lineage(members.select("node").distinct())
+    shared = cut_lineage(items.groupBy("bk").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1"))
+    hot_buckets = hot_keys(shared, ["bk"], "c", per_task)
+    members = cut_lineage(spread_join(items, shared.select("bk", "hub"), ["bk"], hot_buckets, F.col("node")))
+    used = cut_lineage(nodes.select("half1", "half2", "node").join(members.select("node").distinct(), "node", "left_semi"))
     least = min_matches(percent / 100, n_hashes, batch, miss)
-    info = cut_lineage(nodes.join(used, "node").join(_sets(docs, used, k), "node").select("node", "sig", "items", "n"))
+    info = cut_lineage(nodes.join(used.select("half1", "half2"), ["half1", "half2"]).join(_sets(docs, used, k), ["half1", "half2"]).select("node", "sig", "items", "n"))
+    hot_hubs = hot_keys(shared.groupBy(F.col("hub").alias("u")).agg(F.sum("c").alias("c")), ["u"], "c", per_task)
 
     # every member against its buckets' hubs
     stars = members.where(F.col("node") != F.col("hub")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     sized = info.select("node", "sig", "n")
-    both = (stars.join(sized.select(F.col("node").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u")), "u")
+    both = (spread_join(stars, sized.select(F.col("node").alias("u"), F.col("sig").alias("sig_u"), F.col("n").alias("n_u")), ["u"], hot_hubs, F.col("v"))
             .join(sized.select(F.col("node").alias("v"), F.col("sig").alias("sig_v"), F.col("n").alias("n_v")), "v")
             .where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent))
     alive = sequential_filter(both, percent / 100, n_hashes, batch, miss)
     sets = info.select("node", "items")
     common = F.size(F.array_intersect("a", "b"))
-    links = cut_lineage(alive.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
+    links = cut_lineage(spread_join(alive, sets.select(F.col("node").alias("u"), F.col("items").alias("a")), ["u"], hot_hubs, F.col("v"))
                         .join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
                         .where(common * 100 >= (F.size("a") + F.size("b") - common) * percent).select("u", "v"))
     comps = connected_components(links)
@@ -244,7 +271,7 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_
     # buckets that still hold several components: their members in blocks, block against block
     member = members.join(comps, "node", "left").select("bk", "node", "hub", F.coalesce("component", "node").alias("comp"))
     open_ = member.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("bk")
-    member = cut_lineage(member.join(open_, "bk"))
+    member = cut_lineage(spread_join(member, open_, ["bk"], hot_buckets, F.col("node")))
     # a group's blocks hold its hub's component or the rest, so most pairs of blocks know one component only and can't join any
     home = (member.groupBy("node", "comp").agg(F.min("hub").alias("g"))
             .join(comps.select(F.col("node").alias("g"), F.col("component").alias("hub_comp")), "g", "left")
@@ -265,10 +292,15 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_
     if not more.isEmpty():
         comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
 
-    of = nodes.select("node", "rep", "copies").join(comps, "node", "left").where("copies > 1 OR component IS NOT NULL")
+    of = nodes.select("half1", "half2", "node", "rep", "copies").join(comps, "node", "left").where("copies > 1 OR component IS NOT NULL")
     low = of.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("low"))
-    of = of.join(low, "component", "left").select("node", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"), F.lit(True).alias("linked"))
-    got = scanned.drop("sig").join(of, "node", "left")
+    of = of.join(low, "component", "left").select(
+        "half1", "half2", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"), F.lit(True).alias("linked"))
+    worded = F.col("half1").isNotNull()
+    many = hot_keys(nodes, ["half1", "half2"], "copies", per_task)
+    rows = scanned.drop("sig")
+    got = (spread_join(rows.where(worded), of, ["half1", "half2"], many, F.struct("doc_id", F.spark_partition_id()), "left")
+           .unionByName(rows.where(~worded), allowMissingColumns=True))
     return (got.select("doc_id", "n_shingles", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
