@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ragtable.llm import chat, decontam, licenses, line_rules, mixing, near_dedup, quality, suffix_dedup, toxicity, url_graph
@@ -244,6 +245,23 @@ def test_quality_held_out(spark, empty):
     assert quality.score(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Means, pairs and threshold are those of all labelled rows, more than any sample, and the same however they are dealt."""
+    texts = spark.range(9000).selectExpr("id AS doc_id", "IF(id % 9 = 0, repeat(concat('!! ', id % 7, ' '), 4), concat('plain words of text ', id % 11, '.')) AS text")
+    labels = texts.selectExpr("doc_id", "IF(doc_id % 9 = 0, 0, 1) AS quality")
+    model = quality.train(texts, labels)
+    x = np.array([r.x for r in quality.with_features(texts).collect()])
+    assert np.allclose(model["mean"], x.mean(axis=0)) and np.allclose(model["scale"], x.std(axis=0) + 1e-3)
+    rows = quality.labelled_features(texts, labels, "quality")
+    dealt = quality._dealt(rows, {0: 1000, 1: 8000})
+    assert dealt.select("doc_id").distinct().count() == 9000
+    assert int(quality._summed(dealt, quality._loss_sums(np.zeros(x.shape[1]), model["mean"], model["scale"]))[0]) > 8000 * 32
+    monkeypatch.setattr(quality, "NEAR", 100)
+    scored = spark.range(5000).selectExpr("CAST(id % 2 AS INT) AS y", "CAST((id * 7919) % 5000 AS DOUBLE) AS s")
+    assert abs(quality._threshold(scored, {0: 1 / 5000, 1: 1 / 5000}, 0.3) - 1499) <= 1
+    assert quality._threshold(scored.withColumn("s", F.lit(2.0)), {0: 1 / 5000, 1: 1 / 5000}, 0.3) == 2.0
+
+
 def test_toxicity_held_out(spark, empty):
     docs, labels = _labelled(spark)
     model, marks = toxicity.fit(docs, labels.where(quality.fold(labels["doc_id"], 3) != 1))
