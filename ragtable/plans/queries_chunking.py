@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import cosine_distance
 from ..functions.text import PY_SPACE
 from ..operators import chunking as C
-from ..session import read_table
+from ..session import bound_batches, read_table
 from .registry import register
 
 SIZE, OVERLAP = 256, 32
@@ -20,6 +20,7 @@ SENT_SPLIT_SQL = (f"string_split(regexp_replace(coalesce(text, ''), '([.?!]){PY_
 
 
 def _docs(spark, sf_dir):
+    bound_batches(spark)
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 

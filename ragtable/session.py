@@ -57,6 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: settings of Arrow batches: Spark's default, and what is set in its place
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand Python workers few rows and bytes at a time, as rows hold whole texts; a session's own settings stay."""
+    for key, (default, bound) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
