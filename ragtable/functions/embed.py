@@ -9,18 +9,94 @@ plugs in through ``ragtable.operators.vectors.embed_column(..., model=fn)``.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from .tokens import let, word_tokens
 
 DEFAULT_DIM = 64
+_WORD = re.compile("[a-z0-9]+")
+#: tokens whose bucket a task remembers, sentences that are counted at a time
+REMEMBERED, SENTENCES = 1 << 17, 4096
 
 
 def token_bucket(t: Column, dim: int = DEFAULT_DIM) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
+class Buckets(dict):
+    """token -> bucket, hashed where it is met first; ``REMEMBERED`` tokens at most."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        bucket = self[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
+        return bucket
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """(texts, dim): the counts of ``hashed_counts``."""
+        buckets: list[int] = []
+        ends = []
+        for text in texts:
+            buckets.extend(map(self.__getitem__, _WORD.findall((text or "").lower())))
+            ends.append(len(buckets))
+        places = np.repeat(np.arange(len(texts)) * self.dim, np.diff([0, *ends])) + np.array(buckets, np.int64)
+        return np.bincount(places, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(np.float64)
+
+
+def hashed_vectors(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """``hashed_embedding`` of a whole column: an Arrow-batched pandas UDF (not for use inside a lambda)."""
+
+    @pandas_udf("array<double>")
+    def _vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = Buckets(dim)
+        for texts in batches:
+            v = buckets.counts(texts.tolist())
+            n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield pd.Series(list(v / np.where(n == 0, 1.0, n)), dtype=object)
+
+    return _vectors(text)
+
+
+def hashed_window_distances(sents: Column, dim: int = DEFAULT_DIM) -> Column:
+    """1 - cos of each sentence window (previous, own, next) and the next one; 1 if a window has no word. An Arrow-batched pandas UDF.
+
+    A window's term counts are the sum of its sentences', so each sentence is hashed once.
+    """
+
+    def apart(buckets: Buckets, texts: list[str | None]) -> np.ndarray:
+        n, parts = len(texts), [np.zeros(0)]
+        for low in range(0, n - 1, SENTENCES):  # distances low .. high - 1 need windows low .. high, sentences low - 1 .. high + 1
+            high, first = min(low + SENTENCES, n - 1), max(low - 1, 0)
+            c = buckets.counts(texts[first: high + 2])
+            w = c.copy()
+            w[1:] += c[:-1]
+            w[:-1] += c[1:]
+            w = w[low - first: high - first + 1]
+            norms = np.sqrt((w * w).sum(axis=1))
+            size = norms[:-1] * norms[1:]
+            parts.append(1.0 - np.where(size == 0, 0.0, (w[:-1] * w[1:]).sum(axis=1) / np.where(size == 0, 1.0, size)))
+        return np.concatenate(parts)
+
+    @pandas_udf("array<double>")
+    def _distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = Buckets(dim)
+        for rows in batches:
+            yield pd.Series([None if r is None else apart(buckets, list(r)) for r in rows], dtype=object)
+
+    return _distances(sents)
+
+
 def l2_normalize(v: Column) -> Column:
     def body(a):
         return let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..functions.embed import DEFAULT_DIM, cosine_distance, dot, hashed_counts, norm
+from ..functions.embed import DEFAULT_DIM, cosine_distance, hashed_window_distances
 from ..functions.text import PY_SPACE
 from ..functions.tokens import let, whitespace_tokens
 from ..session import cut_lineage
@@ -150,20 +150,7 @@ def window_distances(sents: Column, dim: int = DEFAULT_DIM) -> Column:
 
     A window's term counts are the sum of its sentences', so each sentence is tokenised and hashed once.
     """
-    def plus(v, other):
-        return F.when(other.isNull(), v).otherwise(F.zip_with(v, other, lambda x, y: x + y))
-
-    def with_counts(c):
-        sums = F.transform(c, lambda v, i: plus(plus(v, F.get(c, i - 1)), F.get(c, i + 1)))
-        return let(F.transform(sums, lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), with_windows)
-
-    def with_windows(w):
-        def apart(a, i):
-            return let(F.get(w, i + 1), lambda b: F.when((a["n"] == 0) | (b["n"] == 0), F.lit(1.0)).otherwise(1.0 - dot(a["v"], b["v"]) / (a["n"] * b["n"])))
-
-        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), apart)
-
-    return let(F.transform(sents, lambda s: hashed_counts(s, dim)), with_counts)
+    return hashed_window_distances(sents, dim)
 
 
 def linear_percentile(values: Column, p: float) -> Column:
@@ -211,12 +198,14 @@ def semantic_split(text: Column, percentile: float = 95.0, dim: int = DEFAULT_DI
     hashed embedder, whose windows are summed from their sentences. Distances are rounded to 6 decimals before the percentile
     so engines with different float sum order cut at the same places.
     """
-    def with_sents(s):
-        apart = consecutive_distances(F.transform(sentence_windows(s), embed)) if embed else window_distances(s, dim)
-        dist = F.transform(apart, lambda x: F.round(x, 6))
-        return percentile_breaks(s, dist, percentile, text)
+    def apart(s):
+        return consecutive_distances(F.transform(sentence_windows(s), embed)) if embed else window_distances(s, dim)
+
+    def with_both(b):
+        return percentile_breaks(b["s"], F.transform(b["d"], lambda x: F.round(x, 6)), percentile, text)
 
-    return let(sentences(text), with_sents)
+    # the default embedder's distances come from a UDF, which takes the sentences as they are and stands outside of lambdas
+    return let(F.struct(sentences(text).alias("s"), (let(sentences(text), apart) if embed else apart(sentences(text))).alias("d")), with_both)
 
 
 # ---- C-13: start index ---------------------------------------------------------

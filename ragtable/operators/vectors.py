@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ..functions.embed import DEFAULT_DIM, hashed_embedding
+from ..functions.embed import DEFAULT_DIM, hashed_vectors
 from ..plans.sizing import salted_join
+from ..session import bound_batches
 
 QUERY_BLOCK = 1024
 SLAB = 2048
@@ -35,13 +36,14 @@ def embed_column(df: DataFrame, col: str, out: str = "embedding", dim: int = DEF
                  model: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> DataFrame:
     """V-01/V-02: add an ``array<double>`` embedding of ``col``.
 
-    Default: the hashed embedder (JVM-side expression). ``model`` is a factory
+    Default: the hashed embedder. ``model`` is a factory
     returning ``encode(list[str]) -> list[list[float]]``; it runs in an
     iterator pandas UDF, so the model is loaded once per Python worker and fed
     Arrow batches.
     """
+    bound_batches(df.sparkSession)
     if model is None:
-        return df.withColumn(out, hashed_embedding(F.col(col), dim))
+        return df.withColumn(out, hashed_vectors(F.col(col), dim))
 
     @pandas_udf("array<double>")
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
