@@ -17,7 +17,7 @@ def let(value: Column, body) -> Column:
 
 def whitespace_tokens(c: Column) -> Column:
     """Python ``str.split()`` semantics: split on whitespace runs, no empty tokens, case kept."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), r"\s+"), "")
 
 
 def word_tokens(c: Column) -> Column:

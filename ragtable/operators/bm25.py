@@ -2,8 +2,11 @@
 
 Index build (a pass over the chunks each for the lengths and for df(term), both
 kept in the checkpoint folder): a one-row corpus_stats (N, avgdl, avg_idf),
-  postings(term, chunk_id, tf, dl) by a map-side-combined groupBy,
+  postings(term, chunk_id, tf, dl) by a groupBy over chunks dealt by chunk id, so that the
+  texts are shuffled and not their words, which are counted and summed where the chunk is,
   and the per-posting weight ``w = idf * tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))``.
+Idf meets all postings without a shuffle of most of them: the ``OFTEN`` most frequent terms are broadcast,
+a term of one chunk has the idf of all such, and only postings of the terms between are joined by a shuffle.
 
 Query time: the chunks' words meet the query terms before they are counted, so
 only postings of those are built; they equi-join the terms (with repeat counts)
@@ -28,10 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import whitespace_tokens
-from ..plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT, join_small_side, salted_join
+from ..plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_SALT, join_small_side
 from ..session import cut_lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: terms that are broadcast with their idf, and words that a task counts
+OFTEN = 500_000
+TASK_WORDS = 2_000_000
 
 
 @dataclass
@@ -39,10 +45,12 @@ class BM25Index:
     chunks: DataFrame  # chunk_id, text
     stats: DataFrame  # one row: n_chunks, avgdl, avg_idf, eps_idf
     terms: DataFrame  # term, df, idf (floored)
+    avgdl: float | None  # of that row; None without chunks
     k1: float = K1
     b: float = B
     epsilon: float = EPSILON
     salt: int = DEFAULT_SALT
+    tasks: int | None = None  # tasks that chunks are dealt to by id; None: as many as shuffles have
 
     @property
     def chunk_ids(self) -> DataFrame:
@@ -51,22 +59,34 @@ class BM25Index:
     @property
     def postings(self) -> DataFrame:
         """(term, chunk_id, tf, dl, w) of all terms."""
-        # postings x idf on term: the idf side is repeated per salt bucket so a term in
-        # a third of all chunks is still spread over `salt` tasks.
-        return self._weighted(salted_join(build_postings(self.chunks), self.terms.select("term", "idf"), ["term"], salt=self.salt, salt_source=F.xxhash64("chunk_id")))
+        words = chunk_words(self.chunks, self.tasks)
+        heights = self.terms.groupBy(F.floor(F.log2("df")).cast("int").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min_by("idf", "df").alias("idf")).collect()
+        least = min((h for h in range(64) if sum(r["n"] for r in heights if r["h"] >= h) <= OFTEN), default=64)
+        often = F.broadcast(self.terms.where(F.col("df") >= 2 ** least).select("term", "idf"))
+        out = counted(words.join(often, "term"), "idf")
+        if least:  # words of less than 2 ** least chunks: no term of them is hot
+            rest = counted(words.join(often.select("term"), "term", "left_anti"))
+            once = F.lit(next((r["idf"] for r in heights if r["h"] == 0), None)).cast("double")
+            if least > 1:
+                rare = self.terms.where((F.col("df") > 1) & (F.col("df") < 2 ** least)).select("term", "idf")
+                rest = rest.join(rare, "term", "left").withColumn("idf", F.coalesce("idf", once))
+            else:
+                rest = rest.withColumn("idf", once)
+            out = out.unionByName(rest)
+        return self._weighted(out)
 
     def postings_of(self, asked: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
         """The postings of the terms in ``asked`` (term, other columns), with those columns; words of other terms are dropped before any shuffle."""
-        known = asked.join(self.terms.select("term", "idf"), "term")
-        words = tokenize_chunks(self.chunks).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        kept = join_small_side(words, known.select("term").distinct(), ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id"))
-        counted = kept.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        return self._weighted(join_small_side(counted, known, ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id")))
+        known = cut_lineage(join_small_side(self.terms.select("term", "idf"), asked, ["term"], max_rows=max_broadcast_rows, salt=self.salt))
+        words = chunk_words(self.chunks, self.tasks)
+        kept = join_small_side(words, known.select("term", "idf").distinct(), ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id"))
+        # weighted before they are repeated for each question
+        return join_small_side(self._weighted(counted(kept, "idf")), known.drop("idf"), ["term"], max_rows=max_broadcast_rows, salt=self.salt, salt_source=F.xxhash64("chunk_id"))
 
     def _weighted(self, postings: DataFrame) -> DataFrame:
         w = (F.col("idf") * (F.col("tf") * F.lit(self.k1 + 1.0))
-             / (F.col("tf") + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.col("avgdl"))))
-        return postings.crossJoin(F.broadcast(self.stats.select("avgdl"))).withColumn("w", w).drop("idf", "avgdl")
+             / (F.col("tf") + F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(self.avgdl).cast("double"))))
+        return postings.withColumn("w", w).drop("idf")
 
 
 def fill_null_content(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,17 +100,23 @@ def tokenize_chunks(chunks: DataFrame, id_col: str = "chunk_id", text_col: str =
     )
 
 
-def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """R-01: postings(term, chunk_id, tf, dl); whitespace tokens, case kept.
+def chunk_words(chunks: DataFrame, tasks: int | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, dl, term), a row for each word; chunks are dealt by id, so that no grouping with the id shuffles again.
 
     ``dl`` rides along the explode, so no join back to a chunk-length table.
     """
-    toks = tokenize_chunks(chunks, id_col, text_col)
-    return (
-        toks.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .groupBy("term", "chunk_id", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    chunks = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    dealt = chunks.repartition(tasks, "chunk_id") if tasks else chunks.repartition("chunk_id")
+    return tokenize_chunks(dealt).select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+
+
+def counted(words: DataFrame, *others: str) -> DataFrame:
+    return words.groupBy("term", "chunk_id", "dl", *others).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """R-01: postings(term, chunk_id, tf, dl); whitespace tokens, case kept."""
+    return counted(chunk_words(chunks, None, id_col, text_col))
 
 
 def chunk_lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +140,7 @@ def corpus_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "t
         (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"),
     )
     avg = raw.agg(F.avg("idf_raw").alias("avg_idf"))
-    stats = base.crossJoin(avg).withColumn("eps_idf", F.lit(epsilon) * F.col("avg_idf"))
+    stats = cut_lineage(base.crossJoin(avg).withColumn("eps_idf", F.lit(epsilon) * F.col("avg_idf")))
     terms = raw.crossJoin(F.broadcast(stats.select("eps_idf"))).select(
         "term", "df", F.when(F.col("idf_raw") < 0, F.col("eps_idf")).otherwise(F.col("idf_raw")).alias("idf")
     )
@@ -125,7 +151,10 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
                 k1: float = K1, b: float = B, epsilon: float = EPSILON, salt: int = DEFAULT_SALT) -> BM25Index:
     chunks = fill_null_content(chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")))
     terms, stats = corpus_stats(chunks, epsilon=epsilon)
-    return BM25Index(chunks, stats, terms, k1, b, epsilon, salt)
+    size = stats.first()
+    shuffles = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffles, int(size["n_chunks"] * (size["avgdl"] or 0) // TASK_WORDS))
+    return BM25Index(chunks, stats, terms, size["avgdl"], k1, b, epsilon, salt, tasks)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "question") -> DataFrame:
