@@ -14,6 +14,8 @@ word; they are compared with each text in blocks of ``BLOCK`` passages.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,10 @@ def _inner_runs(text: Column) -> Column:
     return let(_pieces(text), runs)
 
 
-def _all_runs(text: Column, lengths: list[int]) -> Column:
-    return let(_pieces(text), lambda w: F.concat(*[ngrams(w, n) for n in lengths]))
+def _runs_of(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, w0, ...): each run of n words of each text; the last ones of a text, filled with nulls, meet nothing."""
+    cut = docs.select("doc_id", _pieces(F.col("text")).alias("w")).select("doc_id", *[(F.slice("w", i + 1, F.size("w")) if i else F.col("w")).alias(f"w{i}") for i in range(n)])
+    return cut.select("doc_id", F.inline(F.arrays_zip(*[f"w{i}" for i in range(n)])))
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
@@ -56,9 +60,13 @@ def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id",
     keys = p.select("pattern_id", "pattern", F.explode(F.array_distinct(_inner_runs(F.col("pattern")))).alias("key"))
     asked = keys.select("key").distinct()
     lengths = sorted(r[0] for r in asked.select(F.size(F.split("key", " "))).distinct().collect())  # RUN numbers at most
-    held = d.select("doc_id", F.explode(_all_runs(F.col("text"), lengths or [RUN])).alias("key"))
-    # the one pass over all texts; what it finds is kept, as it is counted first and looked up then
-    met = cut_lineage(join_small_side(held, asked, ["key"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).distinct())
+    # a pass over all texts for each length, in which runs are compared word by word; what it finds is kept, as it is counted first and looked up then
+    parts = []
+    for n in lengths or [RUN]:
+        words = [f"w{i}" for i in range(n)]
+        of_n = asked.select("key", F.split("key", " ").alias("k")).where(F.size("k") == n).select("key", *[F.get("k", F.lit(i)).alias(w) for i, w in enumerate(words)])
+        parts.append(join_small_side(_runs_of(d, n), of_n, words, max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "key"))
+    met = cut_lineage(reduce(DataFrame.unionByName, parts).distinct())
     counted = met.groupBy("key").agg(F.count("*").alias("n"))
     # a passage with a key that no text has is in none; min_by keeps one key for each
     rated = keys.join(counted, "key", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import metrics
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .queries_retrieval import K, QRELS_CTE, bm25_hits, bm25_hits_ctes, qrels
 from .registry import register
 
@@ -97,8 +97,9 @@ def metric_ctes_for(max_k: int, hits: str, qrels: str, prefix: str) -> str:
 
 
 def _inputs(spark, sf_dir):
-    hits = bm25_hits(spark, sf_dir)
-    qr = qrels(spark, sf_dir)
+    # both are read several times: by each metric, and for the references of each
+    hits = cut_lineage(bm25_hits(spark, sf_dir))
+    qr = cut_lineage(qrels(spark, sf_dir))
     qs = read_table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id")
     return hits, qr, qs
 
