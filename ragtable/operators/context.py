@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import citation_link
+from ..plans.sizing import join_small_side
+from ..session import cut_lineage
 from .prompts import MESSAGE, no_rag_prompt, render_prompt
 
 RRF_C = 60
@@ -53,6 +55,12 @@ def fuse(hit_lists: Sequence[DataFrame], weights: Sequence[float], content_col:
     return out.select("query_id", "rank", "chunk_id", "content", "score")
 
 
+def with_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The hits with the other columns of texts(chunk_id, ...): few hits go to the texts, which are not shuffled."""
+    cols = [F.col(c) for c in ("chunk_id", *(c for c in hits.columns if c != "chunk_id"), *(c for c in texts.columns if c != "chunk_id"))]
+    return join_small_side(texts, hits, ["chunk_id"]).select(*cols)
+
+
 def dedupe_ordered(hits: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """P-14: keep the first of equal (content, metadata) items per question, keep order, re-rank."""
     keys = ["query_id", *key_cols]
@@ -174,7 +182,7 @@ def answer_batch(questions: DataFrame, hits: DataFrame, texts: DataFrame, templa
     questions(query_id, question); hits(query_id, rank, chunk_id); texts(chunk_id, content);
     history (optional) (query_id, history array<struct<role,content>>).
     """
-    h = hits.select("query_id", "rank", "chunk_id").join(texts, "chunk_id")
+    h = cut_lineage(with_texts(hits.select("query_id", "rank", "chunk_id"), texts))  # read for the context and for the sources
     h = dedupe_ordered(h, ["content"])
     ctx = append_all_citation(h) if citation else append_all(h)
     q = questions.join(ctx, "query_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import context as X
 from ..operators.evaluate import evaluate
 from ..operators.prompts import TEMPLATES, first_text, render_prompt
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .queries_retrieval import K, bm25_hits, bm25_hits_ctes, qrels
 from .queries_vectors import KNN_L2_CTES, knn_hits
 from .registry import register
@@ -24,8 +24,13 @@ def _texts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def _hits_with_text(spark, sf_dir):
-    return bm25_hits(spark, sf_dir).join(_texts(spark, sf_dir), "chunk_id")
+def _hits(spark, sf_dir):
+    """The hits, kept: k rows for each question."""
+    return cut_lineage(bm25_hits(spark, sf_dir))
+
+
+def _hits_with_text(spark, sf_dir, hits=None):
+    return X.with_texts(_hits(spark, sf_dir) if hits is None else hits, _texts(spark, sf_dir))
 
 
 def _questions(spark, sf_dir):
@@ -53,8 +58,8 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM agg""")
 def q_rrf(spark, sf_dir):
     texts = _texts(spark, sf_dir)
-    b = bm25_hits(spark, sf_dir).join(texts, "chunk_id")
-    k = knn_hits(spark, sf_dir).join(texts, "chunk_id")
+    b = X.with_texts(_hits(spark, sf_dir), texts)
+    k = X.with_texts(cut_lineage(knn_hits(spark, sf_dir)), texts)
     return X.fuse([b, k], [0.5, 0.5])
 
 
@@ -65,7 +70,7 @@ FROM (SELECT query_id, min(rank) AS first, arg_min(chunk_id, rank) AS chunk_id
 def q_dedupe(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"),
                                                       "lang", "source")
-    h = bm25_hits(spark, sf_dir).select("query_id", "rank", "chunk_id").join(d, "chunk_id")
+    h = X.with_texts(_hits(spark, sf_dir).select("query_id", "rank", "chunk_id"), d)
     return X.dedupe_ordered(h, ["content", "lang", "source"]).select("query_id", "rank", "chunk_id")
 
 
@@ -109,8 +114,8 @@ def _explode_prompt(df, col):
         "query_id", "msg_index", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
-def _rag_prompts(spark, sf_dir):
-    ctx = X.append_all_citation(_hits_with_text(spark, sf_dir))
+def _rag_prompts(spark, sf_dir, hits=None):
+    ctx = X.append_all_citation(_hits_with_text(spark, sf_dir, hits))
     q = _questions(spark, sf_dir).join(ctx, "query_id", "left")
     return q.withColumn("prompt", render_prompt(TEMPLATE, F.col("question"), F.coalesce(F.col("context"), F.lit(""))))
 
@@ -169,15 +174,16 @@ SELECT a.query_id,
        END AS answer
 FROM ans a LEFT JOIN cited USING (query_id)""")
 def q_cite(spark, sf_dir):
-    p = X.generate(_rag_prompts(spark, sf_dir), "prompt", "model_output")
-    answers = p.select("query_id", X.parse_output(F.col("model_output")).alias("answer"))
-    return X.cite_sources(answers, bm25_hits(spark, sf_dir)).select("query_id", "answer")
+    hits = _hits(spark, sf_dir)
+    p = X.generate(_rag_prompts(spark, sf_dir, hits), "prompt", "model_output")
+    answers = cut_lineage(p.select("query_id", X.parse_output(F.col("model_output")).alias("answer")))  # read twice
+    return X.cite_sources(answers, hits).select("query_id", "answer")
 
 
 @register("answer_batch")
 def q_answer_batch(spark, sf_dir):
     """A-10 composite (rows-only): BM25 top-5 -> dedupe -> cited context -> prompt -> passthrough -> cite."""
-    out = X.answer_batch(_questions(spark, sf_dir), bm25_hits(spark, sf_dir), _texts(spark, sf_dir), TEMPLATE)
+    out = X.answer_batch(_questions(spark, sf_dir), _hits(spark, sf_dir), _texts(spark, sf_dir), TEMPLATE)
     return out.select("query_id", "question", "answer", "no_rag_answer")
 
 
@@ -185,4 +191,4 @@ def q_answer_batch(spark, sf_dir):
 def q_evaluate(spark, sf_dir):
     """E-25 composite (rows-only; its parts have SQL): every benchmark question answered with and without context, and all its metrics."""
     qs = _questions(spark, sf_dir).withColumn("reference", F.col("question"))
-    return evaluate(qs, bm25_hits(spark, sf_dir), qrels(spark, sf_dir), _texts(spark, sf_dir), K, TEMPLATE)
+    return evaluate(qs, bm25_hits(spark, sf_dir), cut_lineage(qrels(spark, sf_dir)), _texts(spark, sf_dir), K, TEMPLATE)
