@@ -10,7 +10,6 @@ plugs in through ``ragtable.operators.vectors.embed_column(..., model=fn)``.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 from .tokens import let, word_tokens
 
 DEFAULT_DIM = 64
-_WORD = re.compile("[a-z0-9]+")
+#: bytes of words stay, all others part words, those of letters beyond ASCII too
+_PARTED = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 #: tokens whose bucket a task remembers, sentences that are counted at a time
 REMEMBERED, SENTENCES = 1 << 17, 4096
 
@@ -37,20 +37,20 @@ class Buckets(dict):
     def __init__(self, dim: int):
         self.dim = dim
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        bucket = self[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
+        bucket = self[token] = int.from_bytes(hashlib.md5(token).digest()[:4], "big") % self.dim
         return bucket
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """(texts, dim): the counts of ``hashed_counts``."""
-        buckets: list[int] = []
-        ends = []
+        sizes, buckets = [], []
         for text in texts:
-            buckets.extend(map(self.__getitem__, _WORD.findall((text or "").lower())))
-            ends.append(len(buckets))
-        places = np.repeat(np.arange(len(texts)) * self.dim, np.diff([0, *ends])) + np.array(buckets, np.int64)
+            words = (text or "").lower().encode(errors="replace").translate(_PARTED).split()
+            sizes.append(len(words))
+            buckets.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        places = np.repeat(np.arange(len(texts)) * self.dim, sizes) + np.concatenate([np.zeros(0, np.int64), *buckets])
         return np.bincount(places, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(np.float64)
 
 

@@ -1,7 +1,7 @@
 """Okapi BM25 as an inverted-index join (R-01..R-04, R-07).
 
-Index build (a pass over the chunks each for the lengths and for df(term), both
-kept in the checkpoint folder): a one-row corpus_stats (N, avgdl, avg_idf),
+Index build (a pass over the chunks for the lengths and df(term), kept in the
+checkpoint folder): a one-row corpus_stats (N, avgdl, avg_idf),
   postings(term, chunk_id, tf, dl) by a groupBy over chunks dealt by chunk id, so that the
   texts are shuffled and not their words, which are counted and summed where the chunk is,
   and the per-posting weight ``w = idf * tf*(k1+1) / (tf + k1*(1-b+b*dl/avgdl))``.
@@ -127,14 +127,16 @@ def corpus_stats(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "t
                  epsilon: float = EPSILON) -> tuple[DataFrame, DataFrame]:
     """R-02: (terms(term, df, idf), stats(n_chunks, avgdl, avg_idf, eps_idf)).
 
-    Both statistics are single aggregations (partial aggregation on the map
-    side), kept in the shared checkpoint folder, so that the chunks are read once
-    for each whatever is asked of the index later; the one-row stats frame is the
-    only thing cross-joined.
+    Both statistics are one aggregation (partial aggregation on the map side), in which
+    the null term counts the chunks and their words; it is kept in the shared checkpoint
+    folder, so that the chunks are read once for it whatever is asked of the index later; the
+    one-row stats frame is the only thing cross-joined.
     """
     toks = tokenize_chunks(chunks, id_col, text_col)
-    base = cut_lineage(toks.agg(F.count(F.lit(1)).alias("n_chunks"), (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avgdl")))
-    df_t = cut_lineage(toks.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    each = toks.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(None).cast("string"))).alias("term"))
+    sums = cut_lineage(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words")))
+    base = sums.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_chunks"), (F.sum("words") / F.sum("df")).alias("avgdl"))
+    df_t = sums.where("term IS NOT NULL").select("term", "df")
     raw = df_t.crossJoin(F.broadcast(base)).select(
         "term", "df",
         (F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf_raw"),

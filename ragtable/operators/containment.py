@@ -42,9 +42,9 @@ def _inner_runs(text: Column) -> Column:
 
 
 def _runs_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, w0, ...): each run of n words of each text; the last ones of a text, filled with nulls, meet nothing."""
-    cut = docs.select("doc_id", _pieces(F.col("text")).alias("w")).select("doc_id", *[(F.slice("w", i + 1, F.size("w")) if i else F.col("w")).alias(f"w{i}") for i in range(n)])
-    return cut.select("doc_id", F.inline(F.arrays_zip(*[f"w{i}" for i in range(n)])))
+    """(doc_id, h): the hash of each run of n words of each text; the last ones of a text, of fewer words, are hashed as they are."""
+    cut = docs.select("doc_id", _pieces(F.col("text")).alias("w"))
+    return cut.select("doc_id", "w", F.posexplode("w").alias("i", "w0")).select("doc_id", F.xxhash64("w0", *[F.get("w", F.col("i") + j) for j in range(1, n)]).alias("h"))
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
@@ -60,12 +60,12 @@ def contains_join(docs: DataFrame, patterns: DataFrame, doc_id: str = "doc_id",
     keys = p.select("pattern_id", "pattern", F.explode(F.array_distinct(_inner_runs(F.col("pattern")))).alias("key"))
     asked = keys.select("key").distinct()
     lengths = sorted(r[0] for r in asked.select(F.size(F.split("key", " "))).distinct().collect())  # RUN numbers at most
-    # a pass over all texts for each length, in which runs are compared word by word; what it finds is kept, as it is counted first and looked up then
+    # a pass over all texts for each length, in which runs meet by their hashes: one in common by chance names a text more to compare;
+    # what the pass finds is kept, as it is counted first and looked up then
     parts = []
     for n in lengths or [RUN]:
-        words = [f"w{i}" for i in range(n)]
-        of_n = asked.select("key", F.split("key", " ").alias("k")).where(F.size("k") == n).select("key", *[F.get("k", F.lit(i)).alias(w) for i, w in enumerate(words)])
-        parts.append(join_small_side(_runs_of(d, n), of_n, words, max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "key"))
+        of_n = asked.select("key", F.split("key", " ").alias("k")).where(F.size("k") == n).select("key", F.xxhash64(*[F.get("k", F.lit(i)) for i in range(n)]).alias("h"))
+        parts.append(join_small_side(_runs_of(d, n), of_n, ["h"], max_rows=max_broadcast_rows, salt_source=F.xxhash64("doc_id")).select("doc_id", "key"))
     met = cut_lineage(reduce(DataFrame.unionByName, parts).distinct())
     counted = met.groupBy("key").agg(F.count("*").alias("n"))
     # a passage with a key that no text has is in none; min_by keeps one key for each

@@ -6,11 +6,11 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from ragtable.functions.embed import hashed_embedding, hashed_vectors
+from ragtable.functions.embed import Buckets, hashed_embedding, hashed_vectors
 from ragtable.operators import bm25
 from ragtable.operators import chunking as C
 from ragtable.operators import context as X
-from ragtable.operators.containment import contains_join
+from ragtable.operators.containment import _runs_of, contains_join
 from ragtable.plans import queries_chunking, queries_context, queries_metrics, queries_retrieval
 from ragtable.session import ensure_checkpoint_dir
 
@@ -89,3 +89,43 @@ def test_queries_index_and_look_up_once(spark, monkeypatch):
     queries_context.q_cite(spark, SF)
     assert len(made) == 1
     assert "contains(" not in plan(queries_metrics.q_metric_means(spark, SF)).lower()  # the references are kept, not looked up for each metric
+
+
+def test_statistics_of_the_index_read_the_chunks_once(spark):
+    ensure_checkpoint_dir(spark)
+    texts = ["one two  two", None, "", "two\tthree", "two"]
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(rows):
+        for r in rows:
+            read.add(1)
+            yield r
+
+    chunks = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2).mapPartitions(counting), "chunk_id long, text string")
+    terms, stats = bm25.corpus_stats(chunks)
+    assert sorted((r.term, r.df) for r in terms.collect()) == [("one", 1), ("three", 1), ("two", 3)]
+    assert (stats.first().n_chunks, stats.first().avgdl) == (5, 6 / 5) and read.value == len(texts)
+    none, empty = bm25.corpus_stats(chunks.limit(0))
+    assert none.count() == 0 and tuple(empty.first()) == (0, None, None, None)
+
+
+def test_runs_meet_by_their_hashes(spark):
+    docs = spark.createDataFrame([(1, " a b\nc"), (2, "a"), (3, ""), (4, None)], "doc_id int, text string")
+    runs = _runs_of(docs, 3)
+    asked = spark.sql("SELECT xxhash64('a', 'b', 'c') AS h")
+    assert [r.doc_id for r in runs.join(asked, "h").collect()] == [1]
+    assert "zip" not in plan(runs) and "slice" not in plan(runs)  # no copies of the texts' words
+
+
+def test_bytes_of_words_are_hashed_as_the_expression_does(spark):
+    texts = ["İstanbul Kelvin naïve xéy z a_b-c 7٣", "é", "A\x00b\x1fc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in df.select(hashed_vectors(F.col("text")).alias("a"), hashed_embedding(F.col("text")).alias("b")).collect():
+        assert r.a == pytest.approx(r.b)
+    assert all(isinstance(t, bytes) for t in _kept(texts))
+
+
+def _kept(texts):
+    buckets = Buckets(64)
+    buckets.counts(texts)
+    return buckets
