@@ -10,7 +10,7 @@
 3. Buckets that still hold several components are tried exhaustively, in blocks:
    members go to blocks of about ``BLOCK_BYTES``, and only blocks that share a
    bucket and know two of its components meet, in one row per pair of blocks, which
-   returns the links that join components. So there is no cap, and no pair of texts
+   returns the links that join components; the lighter block is sent to the heavier. So there is no cap, and no pair of texts
    becomes a row.
 4. A candidate pair's signatures are compared batch by batch. With a uniform
    prior, the posterior after m matches in n is Beta(m+1, n-m+1); a pair goes
@@ -237,6 +237,13 @@ def _block_links(pairs: DataFrame, least: list[int], n_hashes: int, batch: int,
     return pairs.select("a", "b").mapInArrow(run, "u long, v long")
 
 
+def lighter_first(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Pairs (x, y) of blocks with the lighter one as x, by ``weights`` (block, bytes): x is sent to y once for each pair, y is not."""
+    w = [weights.select(F.col("block").alias(c), F.col("bytes").alias(f"bytes_{c}")) for c in ("x", "y")]
+    swap = F.col("bytes_x") > F.col("bytes_y")
+    return pairs.join(w[0], "x").join(w[1], "y").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
+
+
 def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_hashes: int = N_HASHES, band_rows: int = BAND_ROWS,
                               batch: int = BATCH, miss: float = MISS, block_bytes: int = BLOCK_BYTES, per_task: int = ROWS_PER_TASK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row. Keys of over ``per_task`` rows are dealt over tasks."""
@@ -285,8 +292,8 @@ def near_duplicate_components(docs: DataFrame, k: int = 5, percent: int = 80, n_
     sides = [in_block.select("bk", F.col("block").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in ("x", "y")]
     block_pairs = (sides[0].join(sides[1], "bk").where("x <= y AND least(lo_x, lo_y) < greatest(hi_x, hi_y)")
                    .select("x", "y").distinct())
-    content = cut_lineage(placed.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "items")).alias("rows")))
-    against = (block_pairs.join(content.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x")
+    content = cut_lineage(placed.groupBy("block").agg(F.collect_list(F.struct("node", "comp", "sig", "items")).alias("rows"), F.sum(F.size("items") * 8 + 4 * n_hashes).alias("bytes")))
+    against = (lighter_first(block_pairs, content.select("block", "bytes")).join(content.select(F.col("block").alias("x"), F.col("rows").alias("a")), "x")
                .join(content.select(F.col("block").alias("y"), F.col("rows").alias("b")), "y"))
     more = cut_lineage(_block_links(against, least, n_hashes, batch, percent))
     if not more.isEmpty():

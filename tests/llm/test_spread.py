@@ -60,3 +60,34 @@ def test_near_duplicates_of_hot_keys_are_the_same(spark):
     assert plain == dealt and len(plain) == len(rows)
     kept = {r.doc_id for r in near_dedup.near_duplicate_components(docs, k=2).collect() if r.kept}
     assert kept == {0, *range(80, 102)}
+
+
+def test_the_lighter_block_is_sent(spark):
+    weights = spark.createDataFrame([(1, 900), (2, 10), (3, 10), (4, 500)], "block long, bytes long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (1, 1), (2, 4)], "x long, y long")
+    got = near_dedup.lighter_first(pairs, weights)
+    assert got.columns == ["x", "y"] and sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (2, 3), (2, 4), (4, 1)]
+
+
+@pytest.mark.parametrize("block_bytes", [2 << 20, 4000])
+def test_components_whichever_block_is_sent(spark, block_bytes):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for base in range(12):  # chains of near copies, so that a bucket holds more than its hub reaches at once
+        row = [words[i] for i in rng.integers(0, 4000, 60)]
+        for _ in range(12):
+            texts.append(" ".join(row))
+            row = row.copy()
+            row[int(rng.integers(0, 60))] = words[int(rng.integers(0, 4000))]
+            row[int(rng.integers(0, 60))] = words[int(rng.integers(0, 4000))]
+    sets = [{tuple(t.split()[i: i + 2]) for i in range(len(t.split()) - 1)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_components(docs, 2, 80, block_bytes=block_bytes).collect()}
+    assert got == dict(enumerate(root))
