@@ -137,6 +137,24 @@ def test_long_repeats_brute_force(docs, empty):
     assert cut.columns == docs.columns and all(r.n_chars == len(r.text) for r in cut.collect())
 
 
+def test_passages_of_51_words_go_from_400_bytes_on(spark):
+    """op7 counts bytes, not words: a repeated passage of 51 words stays up to 399 bytes and goes whole from 400 on."""
+    rng = np.random.default_rng(77)
+    rows, want = [], {}
+    for k, n in enumerate([340, 399, 400, 401, 700]):
+        letters = rng.integers(97, 123, n)
+        letters[np.linspace(5, n - 6, 50).astype(int)] = 32
+        passage = bytes(letters.tolist()).decode()
+        assert len(passage.split()) == 51
+        for i, edge in ((2 * k, "A"), (2 * k + 1, "B")):
+            text = f"{_prose(200 + i, 90)}{edge}{passage}{edge}{_prose(300 + i, 30)}"
+            rows.append((i, text))
+            kept = text.replace(passage, "") if n >= 400 else text
+            want[i] = (len(text), len(text) - len(kept), int(n >= 400), hashlib.sha256(kept.encode()).hexdigest())
+    got = suffix_dedup.repeat_digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+
+
 def test_stage_cuts_passages_of_over_50_words(spark, docs):
     short = " ".join(f"s{i}" for i in range(51))  # under 400 bytes
     less = " ".join(f"l{i}" for i in range(50))
