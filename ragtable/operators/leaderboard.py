@@ -49,15 +49,20 @@ def rank_by_mean(imputed: DataFrame) -> DataFrame:
 
 
 def zscores(imputed: DataFrame) -> DataFrame:
-    """E-20/E-21: per-metric z-score (sample std); ``z_masked`` hides values that were imputed."""
+    """E-20/E-21: per-metric z-score (sample std); ``z_masked`` hides values that were imputed.
+
+    A metric in which all configs are equal has no spread: its z-scores are NaN, as 0/0 is in the SQL
+    and in pandas, where ANSI mode has division by zero end the query.
+    """
     w = Window.partitionBy("metric")
-    z = (F.col("value") - F.avg("value").over(w)) / F.stddev_samp("value").over(w)
+    spread = F.stddev_samp("value").over(w)
+    z = F.when(spread == 0, F.lit(float("nan"))).otherwise((F.col("value") - F.avg("value").over(w)) / spread)
     return imputed.withColumn("z", F.round(z, 6)).withColumn(
         "z_masked", F.when(F.col("imputed"), F.lit(None)).otherwise(F.col("z")))
 
 
 def rank_by_zscore(imputed: DataFrame) -> DataFrame:
-    """E-20: (config, score, rank) by the sum of per-metric z-scores."""
+    """E-20: (config, score, rank) by the sum of per-metric z-scores; a NaN among them makes the sum NaN, which ranks highest, as in the SQL."""
     s = zscores(imputed).groupBy("config").agg(F.round(F.sum("z"), 6).alias("score"))
     return s.withColumn("rank", F.rank().over(Window.orderBy(F.col("score").desc())))
 

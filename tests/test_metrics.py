@@ -1,5 +1,9 @@
 """Golden retrieval metrics (reference unit tests + hand-computed cases)."""
 
+import importlib
+import math
+
+import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -110,3 +114,28 @@ def test_leaderboard_rankings(spark):
     assert {r.config: r.score for r in z} == pytest.approx({"a": -1.0, "b": 2.0, "c": -1.0}, abs=1e-6)
     hidden = [r for r in leaderboard.zscores(grid).collect() if r.z_masked is None]
     assert [(r.config, r.metric) for r in hidden] == [("c", "n")]
+
+
+def test_leaderboard_of_equal_means(spark, tmp_path):
+    """Configs that are equal in a metric have NaN there, in the operators and in the registered queries as in their SQL."""
+    rows = [("a", "m", 1.0), ("b", "m", 1.0), ("c", "m", 1.0), ("a", "n", 0.0), ("b", "n", 2.0), ("c", "n", 1.0)]
+    grid = spark.createDataFrame([(*r, False) for r in rows], "config string, metric string, value double, imputed boolean")
+    z = {(r.config, r.metric): r.z for r in leaderboard.zscores(grid).collect()}
+    assert all(math.isnan(z[c, "m"]) for c in "abc") and [z[c, "n"] for c in "abc"] == [-1.0, 1.0, 0.0]
+    assert all(math.isnan(r.score) and r.rank == 1 for r in leaderboard.rank_by_zscore(grid).collect())
+    alone = leaderboard.zscores(grid.where("config = 'a'")).collect()
+    assert len(alone) == 2 and all(r.z is None for r in alone)
+
+    # kNN folds case and puts the first document before those that hold the question, BM25 does not: both have an NDCG of 1, and differ in the rest
+    texts = ["ALPHA BETA GAMMA DELTA"] + ["alpha beta gamma delta"] * 6 + ["omega"] * 8
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, texts[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    ent = importlib.import_module("__spark_entry__")
+    for q, column, nans in (("leaderboard_zscores", "z", 2), ("leaderboard_rank_zscore", "score", 2)):
+        got, want = ent.queries()[q](spark, str(tmp_path)), con.execute(ent.oracle_sql()[q])
+        assert [d[0] for d in want.description] == got.columns
+        rows = got.collect()
+        assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in rows) and sum(math.isnan(r[column]) for r in rows) == nans
